@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from lorevine.llm.decontaminate import OP3_SQL, op3_decontamination
 from lorevine.llm.mix_sources import op6_mix_sources
+from lorevine.llm.secrets_scan import op10_secret_scan
 from lorevine.llm.shard_slots import op9_virtual_slots
+from lorevine.llm.spot_signatures import op7_spot_signatures
 from lorevine.llm.token_counts import op1_token_counts
 from lorevine.llm.toxicity import op8_toxicity
 
@@ -12,8 +14,10 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_decontamination": op3_decontamination,
     "op6_mix_sources": op6_mix_sources,
+    "op7_spot_signatures": op7_spot_signatures,
     "op8_toxicity": op8_toxicity,
     "op9_virtual_slots": op9_virtual_slots,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL = {"op3_decontamination": OP3_SQL}
