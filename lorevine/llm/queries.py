@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lorevine.llm.decontaminate import OP3_SQL, op3_decontamination
 from lorevine.llm.mix_sources import op6_mix_sources
+from lorevine.llm.parity_join import op2_jaccard_join
 from lorevine.llm.secrets_scan import op10_secret_scan
 from lorevine.llm.shard_slots import op9_virtual_slots
 from lorevine.llm.spot_signatures import op7_spot_signatures
@@ -12,6 +13,7 @@ from lorevine.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_decontamination": op3_decontamination,
     "op6_mix_sources": op6_mix_sources,
     "op7_spot_signatures": op7_spot_signatures,
