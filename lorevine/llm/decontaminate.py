@@ -170,6 +170,25 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, b
     return _combined(out, rows.select("doc_id", digest))
 
 
+def without_leaks(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``documents`` in which no window occurs, as they are; one filter per block of items."""
+    common.workers_can_import(documents.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
+    for block in item_blocks(benchmark, block_bytes):
+        documents = documents.mapInArrow(_clean_rows(documents.sparkSession.sparkContext.broadcast(block), size), schema)
+    return documents
+
+
+def _clean_rows(kept, size: int):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found_by = matchers(kept.value, size)
+        for batch in batches:
+            hit = (any(next(m.search(words), None) is not None for m in found_by) for words in (words_of(t.as_py()) for t in batch.column("text")))
+            yield batch.filter(pa.array([not h for h in hit], pa.bool_()))
+
+    return clean
+
+
 def _combined(passes: DataFrame, rows: DataFrame) -> DataFrame:
     """Results of all passes by row: spans merged by a fold, items united."""
     key = [F.col("doc_id"), F.col("digest")]

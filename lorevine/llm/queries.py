@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from lorevine.llm.chat_format import op4_chat_format
 from lorevine.llm.decontaminate import OP3_SQL, op3_decontamination
+from lorevine.llm.language_id import op5_language_id
 from lorevine.llm.mix_sources import op6_mix_sources
 from lorevine.llm.parity_join import op2_jaccard_join
 from lorevine.llm.secrets_scan import op10_secret_scan
@@ -15,6 +17,8 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_decontamination": op3_decontamination,
+    "op4_chat_format": op4_chat_format,
+    "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op7_spot_signatures": op7_spot_signatures,
     "op8_toxicity": op8_toxicity,
