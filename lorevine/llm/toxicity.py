@@ -4,8 +4,8 @@ A text becomes the set of its character n-grams (bytes of the lower-cased text b
 blanks, hashed). A feature is scaled by its naive Bayes log-count ratio between toxic and
 clean training texts, and a logistic regression with an L2 penalty learns the weights of
 the scaled features. Trained on a sample of labelled rows bounded by ``SAMPLE_ROWS`` of
-each label and ``SAMPLE_BYTES`` in all; every whole text is scored, by a gather over the
-hashed n-grams it has, without any shuffle.
+each label and ``SAMPLE_TEXT_CHARS`` characters of each; every whole text is scored where it is read, without
+a shuffle: by the part of it that scores highest, parts being as long as training texts.
 
 Null or empty text has no n-grams and gets the score of the intercept. Without labelled
 rows of both labels the score is the share of label 1 (0 without labels). Rows whose
@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 
 from lorevine.llm import common
 
-#: Bounds of the training sample: rows of each label, and bytes of a text and of all.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 1500, 20_000
-GRAMS = (3, 4, 5, 6)
+#: Bounds of the training sample: rows of each label, and characters of each text.
+SAMPLE_ROWS, SAMPLE_TEXT_CHARS = 1000, 6000
+GRAMS = (4, 5, 6)
 BITS = 19
 #: Least number of training texts with a feature, smoothing of counts, weight of the L2 penalty.
-LEAST, SMOOTHING, PENALTY = 2, 1.0, 2e-3
-#: Bytes of a text that are hashed at once.
-SPAN = 1 << 20
+LEAST, SMOOTHING, PENALTY = 3, 1.0, 2e-3
+#: Characters that neighbouring parts of a long text share.
+SHARED = 40
 
 _LOWER = bytes(range(256)).lower()
 #: Punctuation between words is read as a blank, so that a word has one set of n-grams.
@@ -42,21 +42,35 @@ _BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 def features(text: str, seen: np.ndarray) -> np.ndarray:
     """Sorted hashes of the n-grams of a whole text. ``seen`` is a cleared scratch array of flags."""
     raw = b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_BLANKS).split()) + b" "
-    for start in range(0, max(1, len(raw)), SPAN):
-        part = np.frombuffer(raw[start : start + SPAN + max(GRAMS)], np.uint8).astype(np.uint32)
-        code = np.zeros(len(part), np.uint32)
-        for n in range(1, max(GRAMS) + 1):
-            if len(part) < n:
-                break
-            code = code[: len(part) - n + 1] * np.uint32(0x01000193) + part[n - 1 :] + np.uint32(1)
-            if n in GRAMS:
-                mixed = (code ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-                seen[mixed >> np.uint32(32 - BITS)] = True
+    part = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    code = np.zeros(len(part), np.uint32)
+    for n in range(1, max(GRAMS) + 1):
+        if len(part) < n:
+            break
+        code = code[: len(part) - n + 1] * np.uint32(0x01000193) + part[n - 1 :] + np.uint32(1)
+        if n in GRAMS:
+            mixed = (code ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+            seen[mixed >> np.uint32(32 - BITS)] = True
     found = np.flatnonzero(seen)
     seen[found] = False
     return found
 
 
+def margin(text: str, weights: np.ndarray, seen: np.ndarray) -> float:
+    """The largest sum of weights over the parts of a whole text.
+
+    Parts have at most the length of training texts, so that the many neutral features of
+    a long text don't add up to what no training text has.
+    """
+    n = max(1, -(-len(text) // SAMPLE_TEXT_CHARS))
+    size = -(-len(text) // n)
+    return max(float(weights[features(text[max(0, k * size - SHARED) : (k + 1) * size], seen)].sum(dtype=np.float64)) for k in range(n))
+
+
+def _spans(n: int, step: int = 200) -> list[tuple[int, int]]:
+    return [(i, min(n, i + step)) for i in range(0, n, step)]
+
+
 def train(texts: list[str], labels: list[int], steps: int = 150) -> tuple[np.ndarray, float]:
     """Weights by hashed feature (the scaling is folded in) and the intercept."""
     weights = np.zeros(1 << BITS, np.float32)
@@ -66,28 +80,40 @@ def train(texts: list[str], labels: list[int], steps: int = 150) -> tuple[np.nda
         return weights, float(np.log(share / (1 - share)))
     seen = np.zeros(1 << BITS, bool)
     rows = [features(t, seen).astype(np.int32) for t in texts]
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    of = np.repeat(np.arange(len(rows)), lengths)
-    known = np.bincount(flat, minlength=1 << BITS) >= LEAST
-    keep = known[flat]
-    flat, of = flat[keep], of[keep]
-    toxic = SMOOTHING + np.bincount(flat, weights=y[of], minlength=1 << BITS)
-    clean = SMOOTHING + np.bincount(flat, weights=1 - y[of], minlength=1 << BITS)
+    counts = np.zeros(1 << BITS, np.int64)
+    for r in rows:
+        counts[r] += 1
+    known = counts >= LEAST
+    number = np.cumsum(known).astype(np.int32) - 1
+    rows = [number[r[known[r]]] for r in rows]
+    ids = np.flatnonzero(known)
+    at = np.concatenate(rows)
+    starts = np.cumsum([0, *(len(r) for r in rows)])
+    del rows
+
+    def by_row(values: np.ndarray) -> np.ndarray:
+        """Sum over the features of each text, a bounded part of the texts at a time."""
+        return np.concatenate([np.add.reduceat(np.append(values[at[starts[i] : starts[j]]], 0), starts[i:j] - starts[i]) * (np.diff(starts[i : j + 1]) > 0) for i, j in _spans(len(y))])
+
+    def by_feature(values: np.ndarray) -> np.ndarray:
+        """Sum over the texts of each feature."""
+        total = np.zeros(len(ids))
+        for i, j in _spans(len(y)):
+            total += np.bincount(at[starts[i] : starts[j]], weights=np.repeat(values[i:j], np.diff(starts[i : j + 1])), minlength=len(ids))
+        return total
+
+    toxic, clean = SMOOTHING + by_feature(y), SMOOTHING + by_feature(1 - y)
     # Shares of texts rather than of occurrences: features are binary.
-    ratio = np.log(toxic / (y.sum() + 2 * SMOOTHING)) - np.log(clean / ((1 - y).sum() + 2 * SMOOTHING))
-    ratio[~known] = 0
-    ids, at = np.unique(flat, return_inverse=True)
-    scale = ratio[ids]
-    w, b = np.zeros(len(ids)), 0.0
+    scale = np.log(toxic / (y.sum() + 2 * SMOOTHING)) - np.log(clean / ((1 - y).sum() + 2 * SMOOTHING))
     # Accelerated gradient with the step of the largest squared norm of a row.
-    norm = np.bincount(of, weights=scale[at] ** 2, minlength=len(rows))
+    norm = by_row(scale**2)
     step = 4.0 / max(1.0, np.percentile(norm, 90))
-    v, vb, m, mb = w, b, w, b
+    v, vb = np.zeros(len(ids)), 0.0
+    m, mb = v, vb
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(of, weights=(scale * v)[at], minlength=len(rows)) + vb, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(by_row(scale * v) + vb, -30, 30)))
         g = (p - y) / len(y)
-        m_new = v - step * (np.bincount(at, weights=g[of], minlength=len(ids)) * scale + PENALTY * v)
+        m_new = v - step * (by_feature(g) * scale + PENALTY * v)
         mb_new = vb - 0.5 * g.sum() * 4
         v, vb = m_new + k / (k + 3) * (m_new - m), mb_new + k / (k + 3) * (mb_new - mb)
         m, mb = m_new, mb_new
@@ -115,7 +141,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_
         one = there.filter(F.col("toxic") == label).orderBy(common.order_hash("doc_id"), "doc_id").limit(rows)
         picked = one if picked is None else picked.unionByName(one)
     # At most 2 * rows ids: that bound is what makes the broadcast safe.
-    texts = common.document_text(documents).withColumn("text", F.expr(f"substring(text, 1 + pmod(xxhash64(doc_id), greatest(1, length(text) - {SAMPLE_TEXT_BYTES})), {SAMPLE_TEXT_BYTES})"))
+    texts = common.document_text(documents).withColumn("text", F.expr(f"substring(text, 1 + pmod(xxhash64(doc_id), greatest(1, length(text) - {SAMPLE_TEXT_CHARS})), {SAMPLE_TEXT_CHARS})"))
     return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
 
 
@@ -134,7 +160,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         weights, intercept = kept.value
         seen = np.zeros(1 << BITS, bool)
         for batch in batches:
-            margins = np.array([weights[features(t.as_py() or "", seen)].sum(dtype=np.float64) for t in batch.column("text")] or [0.0])[: batch.num_rows] + intercept
+            margins = np.array([margin(t.as_py() or "", weights, seen) for t in batch.column("text")] or [0.0])[: batch.num_rows] + intercept
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(margins, -30, 30))), pa.float64())], [*batch.schema.names, "score"])
 
     columns = [c for c in documents.columns if c != "score"]
