@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,8 @@ MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Pre-tokens kept by a task, and the longest that is kept.
 TABLE_ROWS, TABLE_CHARS = 1_000_000, 48
-#: Pre-tokens of a document counted at once; longer documents are read in pieces.
-AT_ONCE = 200_000
+#: Characters of texts that are counted together, and pre-tokens of a longer text at once.
+GROUP_CHARS, AT_ONCE = 2_000_000, 100_000
 
 #: The library reads both as a blank.
 PRE_TOKEN = re.compile("[ ▁]+[^ ▁]*")
@@ -45,31 +46,50 @@ class PieceTable:
         marks = [processor.id_to_piece(i) for i in range(processor.get_piece_size())]
         if any("▁" in piece.lstrip("▁") for piece in marks):
             raise ValueError("a piece crosses the start of a run of blanks; pre-tokens don't add up")
-        self.known: dict[str, int] = {}
-
-    def counts(self, tokens: list[str]) -> list[int]:
-        """Pieces of each pre-token; the library adds the first blank itself."""
-        new = [t for t in tokens if t not in self.known]
-        if len(self.known) + len(new) > TABLE_ROWS:
-            self.known = {}
-            new = tokens
-        made: dict[str, int] = {}
-        for start in range(0, len(new), 4096):
-            block = new[start : start + 4096]
-            for token, ids in zip(block, self.processor.encode([t[1:] or "" for t in block]), strict=True):
-                # A lone blank before nothing: the library has no text to put it before.
-                made[token] = len(ids) if len(token) > 1 else 1
-        self.known.update((t, n) for t, n in made.items() if len(t) <= TABLE_CHARS)
-        return [made[t] if t in made else self.known[t] for t in tokens]
-
-    def total(self, text: str) -> int:
-        """Tokens of a whole text: frequencies joined to the table, and summed."""
-        if not text:
-            return 0
-        n, found = 0, (m.group() for m in PRE_TOKEN.finditer(" " + text))
-        while frequency := Counter(islice(found, AT_ONCE)):
-            n += sum(k * f for k, f in zip(self.counts(list(frequency)), frequency.values(), strict=True))
-        return n
+        self.pieces: dict[str, int] = {}
+
+    def fill(self, tokens: set[str]) -> None:
+        """Ask the library for the pre-tokens that the table doesn't have; it adds the first blank itself."""
+        if len(self.pieces) + len(tokens) > TABLE_ROWS:
+            self.pieces = {}
+        new = list(tokens - self.pieces.keys())
+        for start in range(0, len(new), AT_ONCE):
+            block = new[start : start + AT_ONCE]
+            counts = map(len, self.processor.encode([t[1:] for t in block], num_threads=1))
+            # A lone blank is one piece, but the library puts none before an empty text.
+            self.pieces.update((t, n if len(t) > 1 else 1) for t, n in zip(block, counts, strict=True))
+
+    def totals(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts: their frequencies joined to the table, and summed."""
+        out = [0] * len(texts)
+        for first, group in self._groups(texts):
+            tokens = set().union(*group)
+            self.fill(tokens)
+            for i, frequency in enumerate(group):
+                out[first + i] += sum(map(mul, map(self.pieces.__getitem__, frequency), frequency.values()))
+            for token in tokens:
+                if len(token) > TABLE_CHARS:
+                    del self.pieces[token]
+        return out
+
+    @staticmethod
+    def _groups(texts: list[str]) -> Iterator[tuple[int, list[Counter[str]]]]:
+        """Frequencies of the pre-tokens of neighbouring texts, or of parts of a long text."""
+        first, group, chars = 0, [], 0
+        for i, text in enumerate(texts):
+            if group and chars + len(text) > GROUP_CHARS:
+                yield first, group
+                first, group, chars = i, [], 0
+            if len(text) <= GROUP_CHARS:
+                group.append(Counter(PRE_TOKEN.findall(" " + text) if text else ()))
+                chars += len(text)
+                continue
+            found = (m.group() for m in PRE_TOKEN.finditer(" " + text))
+            while part := Counter(islice(found, AT_ONCE)):
+                yield i, [part]
+            first = i + 1
+        if group:
+            yield first, group
 
 
 def count_tokens(documents: DataFrame, model_file: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -82,7 +102,7 @@ def count_tokens(documents: DataFrame, model_file: str | None = None, limit: int
 
         pieces = PieceTable(sentencepiece.SentencePieceProcessor(model_file=model_file or public_tokenizers.path(MODEL)))
         for batch in batches:
-            tokens = [pieces.total(t.as_py()) for t in batch.column("text")]
+            tokens = pieces.totals(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     texts = common.document_text(documents)
