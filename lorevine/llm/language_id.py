@@ -10,9 +10,9 @@ its language; the score is that label's share.
 
 The model is fitted on at most ``SAMPLE_DOCS`` texts of each language (``SAMPLE_LANGS``
 languages, the most frequent), with ``SLICE_CHARS`` characters of each. Texts are scored
-where they are read, without a shuffle; a task keeps the emission scores of words it has
-met, within a bound, and runs documents of like length through the chain together, within
-a bound of cells. Beside that bound, memory follows the longest single text.
+where they are read, without a shuffle; a task scores the distinct words of some hundred
+texts at once and runs texts of like length through the chain together, within a bound of
+cells. Beside these bounds, memory follows the longest single text.
 
 Null text, or text without a letter, is ``und`` with score 0, as is every text where
 there is nothing to learn from. Rows without lang are not learned from. Ids are only used
@@ -38,26 +38,36 @@ SAMPLE_DOCS, SAMPLE_LANGS, SLICE_CHARS = 250, 64, 1200
 LEXICON = 400
 BITS = 17
 STEPS, RATE, PENALTY = 60, 0.3, 1e-4
-WORDS_KEPT = 400_000
 #: Cells (words by labels) that go through the chain at once.
 CELLS = 1 << 21
 
+_P = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_features(word: str, lexicons: dict[str, list[int]]) -> list[int]:
-    """Hashed features: affixes up to 3 characters, 2- and 3-grams, and the lexicons that have the word."""
-    import zlib
-
-    marked = f"^{word}$"
-    found = {f"p{word[:n]}" for n in (1, 2, 3)} | {f"s{word[-n:]}" for n in (1, 2, 3)}
-    if len(word) <= 24:
-        found |= {f"g{marked[i : i + n]}" for n in (2, 3) for i in range(len(marked) - n + 1)}
-    else:  # a run of letters longer than words are: its ends and middle say enough
-        middle = len(word) // 2
-        found |= {f"g{part[i : i + n]}" for part in (marked[:12], marked[middle : middle + 12], marked[-12:]) for n in (2, 3) for i in range(len(part) - n + 1)}
-    found |= {f"l{k}" for k in lexicons.get(word, ())}
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for f in found]
+def word_features(words: list[str], lexicons: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed feature, number of its word) of all words: 2- and 3-grams of the word between
+    marks (those with a mark are its short affixes), affixes of 3 characters, and lexicons."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(lengths)
+    word = np.repeat(np.arange(len(words)), lengths)
+    left = ends[word] - np.arange(len(codes))  # characters from here to the word's end
+    found, of = [], []
+    rolled = codes + np.uint64(1)
+    for n in (2, 3, 4):
+        rolled = rolled[:-1] * _P + codes[n - 1 :] + np.uint64(n)
+        here = left[: len(rolled)] >= n
+        if n == 4:  # only at either end
+            here &= (np.concatenate(([True], word[1:] != word[:-1]))[: len(rolled)]) | (left[: len(rolled)] == n)
+        found.append(rolled[here])
+        of.append(word[: len(rolled)][here])
+    listed = [(k, i) for i, w in enumerate(words) if w in lexicons for k in lexicons[w]]
+    found.append(np.array([k + 1 for k, _ in listed], np.uint64))
+    of.append(np.array([i for _, i in listed], np.int64))
+    flat = np.concatenate(found)
+    flat = (flat ^ (flat >> np.uint64(29))) * _P
+    return (flat >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(of)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -69,19 +79,11 @@ class Crf:
 
     def __init__(self, labels: list[str], emissions: np.ndarray, transitions: np.ndarray, lexicons: dict[str, list[int]]) -> None:
         self.labels, self.emissions, self.transitions, self.lexicons = labels, emissions, transitions, lexicons
-        self.known: dict[str, np.ndarray] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
 
     def emission(self, words: list[str]) -> np.ndarray:
-        """Scores (word, label); kept by word."""
-        if len(self.known) > WORDS_KEPT:
-            self.known = {}
-        known = self.known
-        for w in set(words) - known.keys():
-            known[w] = self.emissions[word_features(w, self.lexicons)].sum(0)
-        return np.array([known[w] for w in words], np.float32).reshape(len(words), len(self.labels))
+        """Scores (word, label)."""
+        ids, of = word_features(words, self.lexicons)
+        return np.stack([np.bincount(of, weights=self.emissions[ids, k], minlength=len(words)) for k in range(len(self.labels))], 1).astype(np.float32)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +141,7 @@ def train(rows: list[tuple[str, str]]) -> Crf | None:
     sequences = sorted((s for s in sequences if s[0]), key=lambda s: -len(s[0]))
     lengths = np.array([len(w) for w, _ in sequences])
     vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for words, _ in sequences for w in words))}
-    features = [np.array(word_features(w, lexicons)) for w in vocabulary]
-    flat, sizes = np.concatenate(features), np.array([len(f) for f in features])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    flat, of_word = word_features(list(vocabulary), lexicons)
     time, n, k = int(lengths[0]), len(sequences), len(labels)
     at = np.zeros((time, n), np.int64)
     gold = np.zeros((time, n, k))
@@ -155,15 +155,14 @@ def train(rows: list[tuple[str, str]]) -> Crf | None:
     w, gw, gt = np.zeros((len(used), k)), np.full((len(used), k), 1e-8), np.full((k, k), 1e-8)
     pairs = np.einsum("tni,tnj->ij", gold[:-1], gold[1:])
     for _ in range(STEPS):
-        by_word = np.add.reduceat(w[of], starts, axis=0)
+        by_word = np.stack([np.bincount(of_word, weights=w[of, c], minlength=len(vocabulary)) for c in range(k)], 1)
         scores = by_word[at]
         scores = np.exp(scores - scores.max(2, keepdims=True))
         step = np.exp(trans - trans.max())
         marginals, scale = forward_backward(scores, lengths, step)
         error = (gold - marginals) * mask[:, :, None]
         per_word = np.stack([np.bincount(at[mask], weights=error[:, :, c][mask], minlength=len(vocabulary)) for c in range(k)], 1)
-        spread = np.repeat(per_word, sizes, axis=0)
-        grad = np.stack([np.bincount(of, weights=spread[:, c], minlength=len(used)) for c in range(k)], 1) / n - PENALTY * w
+        grad = np.stack([np.bincount(of, weights=per_word[of_word, c], minlength=len(used)) for c in range(k)], 1) / n - PENALTY * w
         # Expected transitions from marginals of neighbours, by the messages of forward_backward.
         expected = expected_transitions(scores, lengths, step)
         grad_t = (pairs - expected) / n - PENALTY * trans
@@ -207,24 +206,28 @@ def label_words(model: Crf, words: list[str]) -> list[str]:
 
 def expected_shares(model: Crf, documents: list[list[str]]) -> list[np.ndarray]:
     """Share of the expected letters of each label, for each document that has words."""
-    order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for words in documents for w in words))}
     out: list[np.ndarray] = [np.zeros(len(model.labels))] * len(documents)
+    if not number:
+        return out
+    e = model.emission(list(number))
+    e = np.exp(np.maximum(e - e.max(1, keepdims=True), -30))
+    sizes = np.fromiter(map(len, number), np.float32, len(number))
+    order = sorted((i for i in range(len(documents)) if documents[i]), key=lambda i: -len(documents[i]))
     start = 0
-    while start < len(order) and documents[order[start]]:
+    while start < len(order):
         time = len(documents[order[start]])
-        take = max(1, CELLS // (time * len(model.labels)))
-        group = [i for i in order[start : start + take] if documents[i]]
-        start += take
+        group = order[start : start + max(1, CELLS // (time * len(model.labels)))]
+        # Padding costs time: a group ends where texts get much shorter than its first.
+        group = group[: max(16, sum(2 * len(documents[i]) > time for i in group))]
+        start += len(group)
         lengths = np.array([len(documents[i]) for i in group])
-        e = model.emission([w for i in group for w in documents[i]])
-        e = np.exp(np.maximum(e - e.max(1, keepdims=True), -30))
         scores = np.ones((time, len(group), len(model.labels)), np.float32)
         letters = np.zeros((time, len(group)), np.float32)
-        at = 0
         for j, i in enumerate(group):
-            scores[: lengths[j], j] = e[at : at + lengths[j]]
-            letters[: lengths[j], j] = [len(w) for w in documents[i]]
-            at += lengths[j]
+            at = np.fromiter(map(number.__getitem__, documents[i]), np.int64, lengths[j])
+            scores[: lengths[j], j] = e[at]
+            letters[: lengths[j], j] = sizes[at]
         marginals, _ = forward_backward(scores, lengths, model.transitions)
         shares = np.einsum("tn,tnk->nk", letters, marginals, dtype=np.float64)
         for j, i in enumerate(group):
