@@ -18,8 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch: texts are long, and a worker holds a batch several times over.
+BATCH_BYTES = "8m"
+
+
 def workers_can_import(spark: SparkSession) -> None:
-    """Put the folder that holds this library on the path of the Python workers."""
+    """Put the folder that holds this library on the path of the Python workers, and
+    keep Arrow batches small (a setting of the session)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))

@@ -45,7 +45,7 @@ SMALL, BLOCK_ROWS = 8, 4096
 #: Bits of the sketches that are compared, and of the table that tells candidates from the rest.
 BITS, TABLE_BITS = 2048, 1 << 24
 #: Words whose hashes a task keeps, and set hashes by which it knows copies.
-WORDS_KEPT, SETS_KEPT = 1_000_000, 1_000_000
+WORDS_KEPT, SETS_KEPT = 200_000, 100_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
