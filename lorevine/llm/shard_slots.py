@@ -11,7 +11,8 @@ The texts are read once and only ids, sizes and checksums are shuffled. What the
 holds is the table of slots, whose length is the parameter ``n_slots``. Law: ``bytes``.
 
 Null text has no bytes and checksum 0; a null id hashes like any other value. Repeated
-rows are separate rows with places of their own. An empty table gives an empty result.
+rows are separate rows with places of their own. An empty table gives an empty result,
+and further columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def shard(documents: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS
     """Every row with size, text_crc32, virtual_slot, shard and slot (its place in the shard)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = documents.select(
-        *[c for c in documents.columns if c != "text"],
+        "doc_id",
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.lit(n_slots)).cast("int").alias("home"),

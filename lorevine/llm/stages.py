@@ -16,7 +16,7 @@ from lorevine.llm import common, decontaminate, mix_sources, parity_join, shard_
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("score") < 0.5).select(docs.columns)
+    return toxicity.score(docs, model, "_toxicity").filter(F.col("_toxicity") < 0.5).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

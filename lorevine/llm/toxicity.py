@@ -151,8 +151,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return train([t for _, t, _ in rows], [y for _, _, y in rows])
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """The columns of ``documents`` with ``score``."""
+def score(documents: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
+    """The columns of ``documents`` with the column ``name``, which takes the place of one so called."""
     common.workers_can_import(documents.sparkSession)
     kept = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -161,11 +161,11 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         seen = np.zeros(1 << BITS, bool)
         for batch in batches:
             margins = np.array([margin(t.as_py() or "", weights, seen) for t in batch.column("text")] or [0.0])[: batch.num_rows] + intercept
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(margins, -30, 30))), pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(margins, -30, 30))), pa.float64())], [*batch.schema.names, name])
 
-    columns = [c for c in documents.columns if c != "score"]
+    columns = [c for c in documents.columns if c != name]
     kinds = dict(documents.dtypes)
-    return documents.select(columns).mapInArrow(scored, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "score double"]))
+    return documents.select(columns).mapInArrow(scored, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"`{name}` double"]))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
