@@ -137,3 +137,27 @@ def chunk_pack(spark, sf):
 @query("roman_numbers", "SELECT r AS roman, CAST(v AS INTEGER) AS value FROM (VALUES ('I', 1), ('IV', 4), ('IX', 9), ('XIV', 14), ('XL', 40), ('XCIX', 99)) t(r, v)")
 def roman_numbers(spark, sf):
     return inline(spark, "SELECT r AS roman FROM (VALUES ('I'), ('IV'), ('IX'), ('XIV'), ('XL'), ('XCIX')) t(r)").select("roman", T.roman(F.col("roman")).alias("value"))
+
+
+@query("normalize_stem")
+def normalize_stem(spark, sf):
+    """Stemmed and folded tokens of the French documents; tests hold the stemmer's goldens."""
+    from lorevine.functions.stemmer import normalize
+
+    return load(spark, sf, "documents").filter("lang = 'fr'").select("doc_id", F.md5(normalize("text")).alias("normalized_md5"))
+
+
+@query("html_lines")
+def html_lines(spark, sf):
+    """Text blocks of the web pages; a lookahead keeps the pattern out of RE2."""
+    from lorevine.sources.lines import html_lines as blocks
+
+    return blocks(load(spark, sf, "pages"))
+
+
+@query("embed_passages")
+def embed_passages(spark, sf):
+    """The offline embedder over the benchmark passages."""
+    from lorevine.operators.models import embed
+
+    return embed(load(spark, sf, "benchmark"), "text").select("item_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))

@@ -56,7 +56,10 @@ ANSWERS_SQL = """SELECT * FROM (VALUES
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the input folder; one that comes in fewer parts than there are cores is dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
