@@ -108,3 +108,32 @@ def boosted_to_records(chunk_hits: DataFrame, records: DataFrame, boost: float)
     typed = chunk_hits.join(records.select("record_id", "type"), "record_id", "left")
     scaled = F.when(F.col("type") == "regulatory", F.col("score")).otherwise(F.col("score") * boost)
     return typed.groupBy("item_id", "record_id").agg(F.max(scaled).alias("score"))
+
+
+def positions(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, piece: tokens cut at their hyphens, numbered through the text."""
+    pieces = F.filter(F.flatten(F.transform(T.tokens(F.coalesce(F.col("text"), F.lit(""))), lambda t: F.split(t, "-"))), lambda p: p != "")
+    return docs.select("doc_id", F.posexplode(pieces).alias("pos", "piece"))
+
+
+def phrase_postings(terms: DataFrame, placed: DataFrame) -> DataFrame:
+    """term, doc_id, tf: occurrences of the pieces of a term next to each other.
+
+    A piece found at a position proposes a start; a start that all pieces of the term
+    propose is an occurrence, so no sequence of joins is needed.
+    """
+    cut = terms.select("term", F.filter(F.split("term", "-"), lambda p: p != "").alias("pieces")).distinct()
+    each = cut.select("term", F.size("pieces").alias("m"), F.posexplode("pieces").alias("i", "piece"))
+    starts = each.join(placed, "piece").groupBy("term", "m", "doc_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count(F.lit(1)).alias("met"))
+    return starts.filter(F.col("met") == F.col("m")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25_phrases(terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """BM25 in which a hyphenated term is a phrase and lengths count pieces."""
+    placed = positions(docs)
+    lengths = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    post = phrase_postings(terms, placed)
+    stats = totals(docs, lengths)
+    scored = terms.join(term_df(post), "term").crossJoin(stats).join(post, "term").join(lengths.withColumnRenamed("n", "dl"), "doc_id")
+    part = F.col("qtf") * idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return scored.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))

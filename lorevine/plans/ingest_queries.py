@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lorevine.functions import text as T
 from lorevine.functions.references import extract_references
 from lorevine.operators import assembly, integrity
-from lorevine.plans.tables import EDGES_SQL, LINES_SQL, RECORDS_SQL, edges, inline, load, records
+from lorevine.plans.tables import CITING_SQL, EDGES_SQL, LINES_SQL, RECORDS_SQL, edges, inline, load, records
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -73,6 +73,7 @@ def assembly_anomalies(spark, sf):
 def extract_refs(spark, sf):
     """References of every document and record; lookahead keeps them out of RE2."""
     every = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text").unionByName(records(spark).select(F.col("record_id").alias("id"), "text"))
+    every = every.unionByName(inline(spark, CITING_SQL))
     return every.select("id", F.explode(extract_references("text")).alias("edge")).select("id", "edge.target", "edge.family")
 
 

@@ -267,3 +267,16 @@ SELECT item_id, record_id, score, source, CAST(rank AS INTEGER) AS rank FROM (SE
 )
 def graph_expand(spark, sf):
     return ranking.expanded(_pins(spark), edges(spark), records(spark), 6)
+
+
+@query(
+    "bm25_phrases",
+    f"""WITH pl AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, list_filter(flatten(list_transform({TOK.format(c='text')}, lambda t: string_split(t, '-'))), lambda x: x <> '') AS p FROM documents)),
+{TERMS}, cu AS (SELECT DISTINCT term, list_filter(string_split(term, '-'), lambda x: x <> '') AS p FROM qt), ea AS (SELECT term, len(p) AS m, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM cu),
+ss AS (SELECT term, m, doc_id, pos - i AS start FROM ea JOIN pl USING (piece) GROUP BY term, m, doc_id, start HAVING count(*) = m), post AS (SELECT term, doc_id, count(*) AS tf FROM ss GROUP BY ALL),
+dl AS (SELECT doc_id, count(*) AS dl FROM pl GROUP BY doc_id), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), st AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM documents) AS avgdl),
+{SCORES}, {RANKED} SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bmr WHERE rank <= 10""",
+)
+def bm25_phrases(spark, sf):
+    """Hyphenated terms as phrases of adjacent pieces."""
+    return lexical.top(lexical.bm25_phrases(lexical.query_terms(questions(spark, sf)), load(spark, sf, "documents")), 10)

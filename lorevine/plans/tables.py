@@ -55,6 +55,11 @@ ANSWERS_SQL = """SELECT * FROM (VALUES
 ) AS a(item_id, abstention, reason)"""
 
 
+CITING_SQL = """SELECT * FROM (VALUES
+('c1', 'Voir les articles 212-1 et 212-2, puis l''article 1844-5 du code civil.'), ('c2', 'article L. 521-1 du Code monétaire et financier et article L. 521-2 du même code.'), ('c3', 'Avis CNC n° 2004-15 et règlement CRC n° 04-01')
+) AS t(id, text)"""
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder; one that comes in fewer parts than there are cores is dealt out."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -111,6 +111,18 @@ def test_bm25_equals_fts5(spark):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
 
 
+def test_phrases_equal_fts5(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["214-1", "214", "1", "214-1-2", "credit-bail", "credit", "bail", "x"]) for _ in range(rng.randrange(1, 20))) for _ in range(60)]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(x)")
+    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", list(enumerate(texts)))
+    want = {i: round(-s, 6) for i, s in con.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH '\"214-1\" OR \"credit-bail\" OR \"x\"'")}
+    terms = lexical.query_terms(spark.createDataFrame([(1, "214-1 credit-bail x")], "item_id long, text string"))
+    got = {r.doc_id: r.score for r in lexical.bm25_phrases(terms, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
+
+
 def test_config_is_checked():
     for bad in ({"consensus_weight": -1}, {"rrf_k": -1}, {"question_weight": 0}, {"rewrite_mode": "x"}, {"rewrite_mode": "replace", "question_weight": 2}):
         with pytest.raises(ValueError):
