@@ -33,20 +33,34 @@ def workers_can_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the folder that the session names.
-
-    The files are in ``spark.checkpoint.dir``, which all executors share; only where
-    that is unset (tests on one machine) is a temporary folder set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application that all executors share: in ``spark.checkpoint.dir``;
+    only where that is unset (tests on one machine) in a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lorevine-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet and read again, so that readers get just the columns they use."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def parts(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session is sized for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

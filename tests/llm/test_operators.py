@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorevine.llm import chat_format, decontaminate, graph, language_id, mix_sources, parity_join, secrets_scan, shard_slots, spot_signatures, stages, token_counts, toxicity
+from lorevine.llm import chat_format, common, decontaminate, graph, language_id, mix_sources, parity_join, secrets_scan, shard_slots, spot_signatures, stages, token_counts, toxicity
 
 WORDS = "the and of alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -403,3 +403,24 @@ def test_stages(spark, docs, rows, tmp_path):
         if name == "benchmark decontamination":
             assert 3 not in {r.doc_id for r in now.collect()} and 2 in {r.doc_id for r in now.collect()}
     assert now.count() > 0
+
+
+def test_run_equals_its_stages(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(texts()[3].split()[5:30]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path)).cache()
+    want = got(now.selectExpr("doc_id", "octet_length(coalesce(text, '')) + 16 as size", "crc32(coalesce(text, '')) as text_crc32"), "doc_id", "size", "text_crc32")
+    assert want and got(corpus_pipeline.run(spark, str(tmp_path)), "doc_id", "size", "text_crc32") == want
+
+
+def test_stored_tables(spark, docs, nothing, tmp_path):
+    for k, df in enumerate((docs, nothing)):
+        kept = common.stored(df, str(tmp_path / f"{k}"))
+        assert kept.dtypes == df.dtypes and got(kept, *df.columns) == got(df, *df.columns)
+    common.remove(spark, str(tmp_path / "0"))
+    assert not (tmp_path / "0").exists() and (tmp_path / "1").exists()
