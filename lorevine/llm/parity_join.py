@@ -13,7 +13,9 @@ two bands meets in a family of its own.
 Documents that meet are compared by the Hamming distance of bit sketches, in which each
 shingle toggles one bit, and only pairs within the bound are verified on whole texts.
 Equal sets are one class from the start. In a bucket of up to ``SMALL`` documents all
-pairs are candidates. In a larger one the first document is compared with all others;
+pairs are candidates. In a larger one the first document is compared with all others (a
+task that meets a bucket in more than ``SMALL`` documents sends the bucket's task only so
+many and deals the rest over all tasks, led by its own first document);
 what then still belongs to different components is compared by bit sketches, in blocks of
 rows within size windows, so no pair is left out and none is emitted that the distance
 rules out.
@@ -32,6 +34,7 @@ from math import floor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,8 @@ SMALL, BLOCK_ROWS = 8, 4096
 BITS, TABLE_BITS = 2048, 1 << 24
 #: Words whose hashes a task keeps, and set hashes by which it knows copies.
 WORDS_KEPT, SETS_KEPT = 200_000, 100_000
+#: Keys of large buckets that a task remembers; forgetting them only sends more rows to the key's task.
+LARGE_KEPT = 100_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -144,10 +149,48 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns), pa.array([r[3] for r in rows], pa.binary())], ["doc_id", "n", "f1", "f2", "sketch"])
 
 
+class _Rows:
+    """The rows (key, doc_id, lead) of a task, in which a key has ``SMALL`` + 1 documents without a lead at first.
+
+    Those tell the key's task that the bucket is large. All others of that key have the
+    first of them as lead, and may go to any task.
+    """
+
+    def __init__(self) -> None:
+        self.large = np.empty(0, np.uint64)  # keys, ascending
+        self.leads = np.empty(0, np.int64)
+
+    def batch(self, keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        again = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])))
+        keys, ids = keys[again], ids[again]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        counts = np.diff(np.append(starts, len(keys)))
+        leads, sent = ids[starts].copy(), np.minimum(counts, SMALL + 1)
+        if len(self.large):
+            at = np.minimum(np.searchsorted(self.large, keys[starts]), len(self.large) - 1)
+            known = self.large[at] == keys[starts]
+            leads[known], sent[known] = self.leads[at[known]], 0
+        new = counts > SMALL
+        new &= sent > 0
+        spread = np.arange(len(keys)) - np.repeat(starts, counts) >= np.repeat(sent, counts)
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(keys.view(np.int64)), pa.array(ids), pa.array(np.repeat(leads, counts), mask=~spread)], ["key", "doc_id", "lead"]
+        )
+        if new.any():
+            if len(self.large) + int(new.sum()) > LARGE_KEPT:
+                self.large, self.leads = self.large[:0], self.leads[:0]
+            found, leads = np.append(self.large, keys[starts][new]), np.append(self.leads, leads[new])
+            order = np.argsort(found)
+            self.large, self.leads = found[order], leads[order]
+        return out
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, seen = _WordHashes(), set()
+    hashes, seen, rows = _WordHashes(), set(), _Rows()
     for batch in batches:
-        keys, ids = [], []
+        keys, ids, held = [], [], 0
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             h = shingles(text.as_py(), hashes)
             if doc_id is None or not len(h):
@@ -160,11 +203,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.add(known)
             keys.append(published(h))
             ids.append(np.full(len(keys[-1]), doc_id, np.int64))
-            if sum(map(len, keys[-64:])) > 1 << 20:
-                yield _two(np.concatenate(keys).view(np.int64), np.concatenate(ids), "key", "doc_id")
-                keys, ids = [], []
+            held += len(keys[-1])
+            if held > 1 << 20:
+                yield rows.batch(np.concatenate(keys), np.concatenate(ids))
+                keys, ids, held = [], [], 0
         if keys:
-            yield _two(np.concatenate(keys).view(np.int64), np.concatenate(ids), "key", "doc_id")
+            yield rows.batch(np.concatenate(keys), np.concatenate(ids))
 
 
 def _two(x: np.ndarray, y: np.ndarray, a: str, b: str) -> pa.RecordBatch:
@@ -172,8 +216,17 @@ def _two(x: np.ndarray, y: np.ndarray, a: str, b: str) -> pa.RecordBatch:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of (key, doc_id) -> pairs (null, a, b), and rows (key, doc_id, null) of large buckets."""
-    read = [(b.column("key").to_numpy(), b.column("doc_id").to_numpy()) for b in batches if b.num_rows]
+    """A partition of (key, doc_id, lead) -> pairs (null, a, b), and rows (key, doc_id, null) of large buckets."""
+    read = []
+    for b in batches:
+        led = b.column("lead").is_valid()
+        some = b.filter(led)
+        if some.num_rows:  # known to be of large buckets
+            yield pa.RecordBatch.from_arrays([some.column("key"), some.column("doc_id"), pa.nulls(some.num_rows, pa.int64())], ["key", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(some.num_rows, pa.int64()), some.column("lead"), some.column("doc_id")], ["key", "a", "b"])
+        rest = b.filter(pc.invert(led))
+        if rest.num_rows:
+            read.append((rest.column("key").to_numpy(), rest.column("doc_id").to_numpy()))
     if not read:
         return
     keys, ids = np.concatenate([k for k, _ in read]), np.concatenate([i for _, i in read])
@@ -326,7 +379,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     nodes = common.cut(node_of.filter("doc_id = node").select("node").distinct().join(filled.select(F.col("doc_id").alias("node"), "n", "sketch"), "node").dropDuplicates(["node", "n"]))
 
     n = common.parts(spark)
-    met = common.cut(texts.mapInArrow(_keys, "key long, doc_id long").repartition(n, "key").mapInArrow(_met, "key long, a long, b long"))
+    keys = texts.mapInArrow(_keys, "key long, doc_id long, lead long")
+    spread = F.when(F.col("lead").isNotNull(), F.xxhash64("doc_id")).otherwise(F.lit(0).cast("long"))
+    met = common.cut(keys.repartition(n, "key", spread).mapInArrow(_met, "key long, a long, b long"))
     by_id = node_of.select("doc_id", "node")
     pairs = met.filter("key is null").select("a", "b").distinct()
     pairs = pairs.join(by_id.toDF("a", "na"), "a").join(by_id.toDF("b", "nb"), "b")

@@ -5,7 +5,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -148,6 +148,46 @@ def test_alike_sets_meet(n):
             assert set(parity_join.published(a).tolist()) & set(parity_join.published(b).tolist())
 
 
+def test_rows_of_large_buckets_are_spread():
+    rng = np.random.default_rng(5)
+    keys, ids = rng.integers(0, 40, 3000).astype(np.uint64) ** 2 % 37, rng.integers(-50, 400, 3000)
+    task, out, large = parity_join._Rows(), [], set()
+    for s in range(0, 3000, 500):
+        made = task.batch(keys[s : s + 500], ids[s : s + 500]).to_pylist()
+        sent_now = Counter(r["key"] for r in made if r["lead"] is None)
+        assert not large & set(sent_now)  # all further rows of a large bucket go anywhere
+        assert max(sent_now.values(), default=0) <= parity_join.SMALL + 1
+        large |= {k for k, n in sent_now.items() if n > parity_join.SMALL}
+        out += made
+    truth = defaultdict(set)
+    for k, i in zip(keys.tolist(), ids.tolist(), strict=True):
+        truth[k].add(i)
+    sent = {k: {r["doc_id"] for r in out if r["key"] == k and r["lead"] is None} for k in truth}
+    for k, all_ids in truth.items():
+        assert {r["doc_id"] for r in out if r["key"] == k} == all_ids
+        assert (len(sent[k]) > parity_join.SMALL) or sent[k] == all_ids
+        assert {r["lead"] for r in out if r["key"] == k} - {None} <= sent[k]
+
+
+def test_jaccard_join_of_one_hot_group(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(80)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        words[rng.randrange(80)] = f"new{i % 70}"
+        if i % 3 == 0:
+            words[rng.randrange(80)] = "more"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(f"x{rng.randrange(50)}" for _ in range(12))) for i in range(30)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        out = got(parity_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)), "doc_id", "n_shingles", "component_id")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out == brute_components(rows)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(55)] + [(100 + k, 101 + k) for k in range(30)]
