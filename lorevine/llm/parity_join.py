@@ -381,7 +381,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     n = common.parts(spark)
     keys = texts.mapInArrow(_keys, "key long, doc_id long, lead long")
     spread = F.when(F.col("lead").isNotNull(), F.xxhash64("doc_id")).otherwise(F.lit(0).cast("long"))
-    met = common.cut(keys.repartition(n, "key", spread).mapInArrow(_met, "key long, a long, b long"))
+    # No number of partitions: small ones merge, so that the checkpoint writes few files.
+    met = common.cut(keys.repartition("key", spread).mapInArrow(_met, "key long, a long, b long"))
     by_id = node_of.select("doc_id", "node")
     pairs = met.filter("key is null").select("a", "b").distinct()
     pairs = pairs.join(by_id.toDF("a", "na"), "a").join(by_id.toDF("b", "nb"), "b")
