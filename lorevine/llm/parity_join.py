@@ -13,10 +13,9 @@ two bands meets in a family of its own.
 Documents that meet are compared by the Hamming distance of bit sketches, in which each
 shingle toggles one bit, and only pairs within the bound are verified on whole texts.
 Equal sets are one class from the start. In a bucket of up to ``SMALL`` documents all
-pairs are candidates. In a larger one the first document is compared with all others (a
-task that meets a bucket in more than ``SMALL`` documents sends the bucket's task only so
-many and deals the rest over all tasks, led by its own first document);
-what then still belongs to different components is compared by bit sketches, in blocks of
+pairs are candidates. In a larger one the first document is compared with all others
+(a task that meets a bucket in more documents sends its task just enough to tell that it
+is large and deals the rest over all tasks); what then still belongs to different components is compared by bit sketches, in blocks of
 rows within size windows, so no pair is left out and none is emitted that the distance
 rules out.
 
@@ -150,15 +149,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Rows:
-    """The rows (key, doc_id, lead) of a task, in which a key has ``SMALL`` + 1 documents without a lead at first.
+    """The rows (key, doc_id, spread) of a task, of which at most ``SMALL`` + 1 documents a flush aren't spread.
 
-    Those tell the key's task that the bucket is large. All others of that key have the
-    first of them as lead, and may go to any task.
+    So many tell the key's task that the bucket is large. All others of that key may go to
+    any task.
     """
 
     def __init__(self) -> None:
         self.large = np.empty(0, np.uint64)  # keys, ascending
-        self.leads = np.empty(0, np.int64)
 
     def batch(self, keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((ids, keys))
@@ -167,24 +165,16 @@ class _Rows:
         keys, ids = keys[again], ids[again]
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         counts = np.diff(np.append(starts, len(keys)))
-        leads, sent = ids[starts].copy(), np.minimum(counts, SMALL + 1)
+        sent = np.minimum(counts, SMALL + 1)
         if len(self.large):
             at = np.minimum(np.searchsorted(self.large, keys[starts]), len(self.large) - 1)
-            known = self.large[at] == keys[starts]
-            leads[known], sent[known] = self.leads[at[known]], 0
-        new = counts > SMALL
-        new &= sent > 0
+            sent[self.large[at] == keys[starts]] = 0
         spread = np.arange(len(keys)) - np.repeat(starts, counts) >= np.repeat(sent, counts)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(keys.view(np.int64)), pa.array(ids), pa.array(np.repeat(leads, counts), mask=~spread)], ["key", "doc_id", "lead"]
-        )
-        if new.any():
-            if len(self.large) + int(new.sum()) > LARGE_KEPT:
-                self.large, self.leads = self.large[:0], self.leads[:0]
-            found, leads = np.append(self.large, keys[starts][new]), np.append(self.leads, leads[new])
-            order = np.argsort(found)
-            self.large, self.leads = found[order], leads[order]
-        return out
+        new = keys[starts][sent > SMALL]
+        if len(self.large) + len(new) > LARGE_KEPT:
+            self.large = self.large[:0]
+        self.large = np.sort(np.append(self.large, new))
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids), pa.array(spread)], ["key", "doc_id", "spread"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,15 +206,13 @@ def _two(x: np.ndarray, y: np.ndarray, a: str, b: str) -> pa.RecordBatch:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of (key, doc_id, lead) -> pairs (null, a, b), and rows (key, doc_id, null) of large buckets."""
+    """A partition of (key, doc_id, spread) -> pairs (null, a, b), and rows (key, doc_id, null) of large buckets."""
     read = []
     for b in batches:
-        led = b.column("lead").is_valid()
-        some = b.filter(led)
+        some = b.filter(b.column("spread"))
         if some.num_rows:  # known to be of large buckets
             yield pa.RecordBatch.from_arrays([some.column("key"), some.column("doc_id"), pa.nulls(some.num_rows, pa.int64())], ["key", "a", "b"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(some.num_rows, pa.int64()), some.column("lead"), some.column("doc_id")], ["key", "a", "b"])
-        rest = b.filter(pc.invert(led))
+        rest = b.filter(pc.invert(b.column("spread")))
         if rest.num_rows:
             read.append((rest.column("key").to_numpy(), rest.column("doc_id").to_numpy()))
     if not read:
@@ -245,10 +233,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 firsts.append(ids[at + i])
                 seconds.append(ids[at + j])
     large = np.repeat(counts, counts) > SMALL
-    leader = np.repeat(ids[starts], counts)
-    star = large & (leader != ids)
-    firsts.append(leader[star])
-    seconds.append(ids[star])
+    firsts.append(ids[:0])
+    seconds.append(ids[:0])
     pairs = np.unique(np.stack([np.concatenate(firsts), np.concatenate(seconds)], 1), axis=0)
     for s in range(0, len(pairs), 1 << 16):
         p = pairs[s : s + (1 << 16)]
@@ -379,18 +365,20 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     nodes = common.cut(node_of.filter("doc_id = node").select("node").distinct().join(filled.select(F.col("doc_id").alias("node"), "n", "sketch"), "node").dropDuplicates(["node", "n"]))
 
     n = common.parts(spark)
-    keys = texts.mapInArrow(_keys, "key long, doc_id long, lead long")
-    spread = F.when(F.col("lead").isNotNull(), F.xxhash64("doc_id")).otherwise(F.lit(0).cast("long"))
+    keys = texts.mapInArrow(_keys, "key long, doc_id long, spread boolean")
+    spread = F.when(F.col("spread"), F.xxhash64("doc_id")).otherwise(F.lit(0).cast("long"))
     # No number of partitions: small ones merge, so that the checkpoint writes few files.
     met = common.cut(keys.repartition("key", spread).mapInArrow(_met, "key long, a long, b long"))
     by_id = node_of.select("doc_id", "node")
-    pairs = met.filter("key is null").select("a", "b").distinct()
+    large = met.filter("key is not null").select("key", "a")
+    star = large.join(large.groupBy("key").agg(F.min("a").alias("first")), "key").filter("a <> first").select(F.col("first").alias("a"), F.col("a").alias("b"))
+    pairs = met.filter("key is null").select("a", "b").unionByName(star).distinct()
     pairs = pairs.join(by_id.toDF("a", "na"), "a").join(by_id.toDF("b", "nb"), "b")
     pairs = pairs.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).filter("a <> b").distinct()
     links = _links(pairs, texts, nodes)
     roots = graph.components(links)
 
-    hot = met.filter("key is not null").join(by_id.withColumnRenamed("doc_id", "a"), "a").select("key", "node").distinct()
+    hot = large.join(by_id.withColumnRenamed("doc_id", "a"), "a").select("key", "node").distinct()
     hot = hot.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed_keys = hot.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
     open_rows = common.cut(hot.join(mixed_keys.select("key", "rows"), "key"))

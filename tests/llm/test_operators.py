@@ -154,7 +154,7 @@ def test_rows_of_large_buckets_are_spread():
     task, out, large = parity_join._Rows(), [], set()
     for s in range(0, 3000, 500):
         made = task.batch(keys[s : s + 500], ids[s : s + 500]).to_pylist()
-        sent_now = Counter(r["key"] for r in made if r["lead"] is None)
+        sent_now = Counter(r["key"] for r in made if not r["spread"])
         assert not large & set(sent_now)  # all further rows of a large bucket go anywhere
         assert max(sent_now.values(), default=0) <= parity_join.SMALL + 1
         large |= {k for k, n in sent_now.items() if n > parity_join.SMALL}
@@ -162,11 +162,10 @@ def test_rows_of_large_buckets_are_spread():
     truth = defaultdict(set)
     for k, i in zip(keys.tolist(), ids.tolist(), strict=True):
         truth[k].add(i)
-    sent = {k: {r["doc_id"] for r in out if r["key"] == k and r["lead"] is None} for k in truth}
+    sent = {k: {r["doc_id"] for r in out if r["key"] == k and not r["spread"]} for k in truth}
     for k, all_ids in truth.items():
         assert {r["doc_id"] for r in out if r["key"] == k} == all_ids
         assert (len(sent[k]) > parity_join.SMALL) or sent[k] == all_ids
-        assert {r["lead"] for r in out if r["key"] == k} - {None} <= sent[k]
 
 
 def test_jaccard_join_of_one_hot_group(spark):
