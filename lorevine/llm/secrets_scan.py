@@ -2,15 +2,21 @@ r"""Operator 10 [native]: secret scans with a battery of randomness tests.
 
 Spans of three patterns come first: assignments to names like ``token``, access keys and
 long hex runs. The battery then looks at every other run of at least ``LEAST`` characters
-of the base64 and URL alphabets. Its encoding is inferred from the characters (decimal,
-hex, base32, base64), the characters become numbers, and three tests ask whether these
+of the base64 and URL alphabets. Its encoding is inferred from the characters (the
+narrowest alphabet of ``ENCODINGS`` that has them all), the characters become numbers, and three tests ask whether these
 are uniform and independent: chi-squared over the alphabet, the number of runs above and
 below its middle, and the serial correlation at lag 1. A run that none of them rejects at
 ``REJECT`` may be random; how surprising it would be for ordinary text of its length is a
-p-value from the moments of the chi-squared statistic for text in that encoding, and a
+p-value, and a
 Benjamini-Hochberg procedure over the runs of a document, weighted by length, keeps the
 share of false finds at ``FALSE_SHARE``. Short runs therefore need more evidence.
 
+Ordinary text is words, identifiers and paths: a table of how many bits each character
+takes after the one before it (changes between small and capital letters, digits and
+marks, and letters after letters) gives a run's bits a character, and these have known moments over
+such text. Digits alone all take the same bits, so for decimal runs the p-value is from
+the moments of the chi-squared statistic for ordinary numbers instead.
+
 Only column expressions are used and nothing is shuffled, so hot sources or copies don't
 matter. Positions are code points. A text without any candidate costs four scans.
 
@@ -36,13 +42,41 @@ LEAST_VALUE = 8
 LEAST, REJECT, FALSE_SHARE = 20, 0.01, 0.05
 RUNS = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}+"
 
-#: encoding: alphabet, share of coinciding characters in ordinary text, and of triples.
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: encoding: alphabet, and what a value in it looks like; the first that fits holds, narrow alphabets before wide ones.
 ENCODINGS = {
-    "decimal": ("0123456789", 0.20, 0.060),
-    "hex": ("0123456789abcdef", 0.15, 0.030),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066, 0.0060),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.066, 0.0060),
+    "decimal": (_DIGITS, "^[0-9]+$"),
+    "hex": (_DIGITS + "abcdef", "^([0-9a-f]+|[0-9A-F]+)$"),
+    "upper": (_UPPER, "^[A-Z]+$"),
+    "lower": (_LOWER, "^[a-z]+$"),
+    "base32": (_UPPER + "234567", "^[A-Z2-7]+$"),
+    "base32_lower": (_LOWER + "234567", "^[a-z2-7]+$"),
+    "base36_upper": (_DIGITS + _UPPER, "^[0-9A-Z]+$"),
+    "base36_lower": (_DIGITS + _LOWER, "^[0-9a-z]+$"),
+    "letters": (_UPPER + _LOWER, "^[A-Za-z]+$"),
+    "base62": (_DIGITS + _UPPER + _LOWER, "^[0-9A-Za-z]+$"),
+    "base64": (_UPPER + _LOWER + _DIGITS + "+/", "^"),
 }
+#: Share of coinciding characters in ordinary numbers, and of triples.
+SAME_TWO, SAME_THREE = 0.20, 0.060
+#: Bits of a change from a small letter, capital, digit or mark (rows) to each of these (columns).
+CHANGE_BITS = ((0.21, 4.78, 8.63, 3.36), (1.72, 0.73, 6.35, 3.66), (4.78, 3.92, 0.43, 2.69), (0.41, 3.1, 5.11, 3.34))
+#: Quarters of a bit, as base64 digits, of the letters a-z after a-z (rows) and at a start (last row), case aside.
+LETTER_BITS = """
+WWRUUjZaQiiSXJWYhPQKPedjgs SgdgHkkuVcoFhlOiyWXgUmrsYq RlagQgjFPxVVhkLgpVbQWoqvg0
+OWdZIdhTLmoVgUJftURQWlYriv OaWQSddZQmjUYKWaeJNSXcdakb NYadMSbWKvdThaLdxPVNTeftce
+MWbhGjZSR0eTdSRc0RRSVeavne JVcrHtdSR0dVjTPcpVSPcdX0ld VaRYMaZfbnpVXHLbdWSNlajg0e
+DmchNmn0a0fhhjPg0oRhPlY0o0 TcYcCdZjRnnYdZbbleRaZhZrfx PhcYGgipMnmNgkSgmfYYYhrvKw
+MVfcFjjlL0iZUdPOuhXcWlnpgt QWVMMeMUSmdWeUQcgWRJaZZxng ZcXXcRcmUihXVGaZjLSXLfblps
+JlbbMMkXTvgPhiOSnNXRVolsWx jsnjqouvj00ZnlopjgdpArm0w0 NWXaGjZVPmcXZVPbjRSQZcawdg
+SbOcNhdLRfhYZaSXcXSHVneqcy QaciLiiHJxjZiZSdoRUTahdrbV SVXdIdbZSrgSWLUUfPRPfZeNvg
+MhdkElilIv0khfSiyYcgfnhrmz RjhgVirCQyhgkXVivVYhqpjnsz OdPaKckdOtuUUjPOVSaKhVkbZm
+QUZaLecRQipSXPONqTONnhUnlh QUUcMoXZUcZXY0ZZdaUUEZrugY OVRULXYURgfTWSOUbRRLXZZkmh
+""".split()
+#: Bits a character over runs of ordinary text: mean, and variance between runs and, by the number of characters, within.
+TEXT_MEAN, TEXT_BETWEEN, TEXT_WITHIN = 4.46, 0.0625, 5.2
+#: The characters that the bits tell apart: letters, any digit, any mark.
+_SIGNS = _LOWER + _UPPER + "0+"
 _BLOCK = 256
 
 
@@ -94,12 +128,10 @@ def _upper_tail(z: Column) -> Column:
 
 def encoding_of(value: Column) -> Column:
     """The narrowest alphabet that has all characters of a value."""
-    return (
-        F.when(value.rlike("^[0-9]+$"), "decimal")
-        .when(value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$"), "hex")
-        .when(value.rlike("^[A-Z2-7]+$"), "base32")
-        .otherwise("base64")
-    )
+    out = None
+    for name, (_, pattern) in ENCODINGS.items():
+        out = F.when(value.rlike(pattern), name) if out is None else out.when(value.rlike(pattern), name)
+    return out
 
 
 def _by_encoding(encoding: Column, pick) -> Column:
@@ -109,21 +141,39 @@ def _by_encoding(encoding: Column, pick) -> Column:
     return out
 
 
+def sign_bits() -> list[float]:
+    """Bits of each of ``_SIGNS`` after each of them, row by row."""
+    base64, out = ENCODINGS["base64"][0], []
+    for a in range(len(_SIGNS)):
+        for b in range(len(_SIGNS)):
+            one, two = (min(x // 26, 2) + (x == 53) for x in (a, b))
+            after = a % 26 if (one, two) in ((0, 0), (1, 1), (1, 0)) else 26
+            here = base64.index(LETTER_BITS[after][b % 26]) / 4 if two < 2 else 3.32 if two == 2 else 1.0
+            out.append(round(CHANGE_BITS[one][two] + here, 2))
+    return out
+
+
 def _battery(df: DataFrame, name: str) -> DataFrame:
     """``name`` as array of (start, end, value) -> those that the battery keeps."""
     encoded = F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), encoding_of(s["value"]).alias("enc"), s["value"].alias("value")))
     df = df.withColumn(name, encoded)
+    # One literal after constant folding, which thousands of literals wouldn't be as fast.
+    bits = F.split(F.lit(",".join(map(str, sign_bits()))), ",").cast("array<double>")
+
+    def characters(s: Column) -> Column:
+        return F.filter(F.split(s, ""), lambda c: c != "")
 
     def codes(s: Column) -> Column:
         plain = F.translate(F.when(s["enc"] == "hex", F.lower(s["value"])).otherwise(s["value"]), "-_", "+/")
         alphabet = _by_encoding(s["enc"], lambda r: r[0])
+        signs = F.transform(characters(F.translate(s["value"], "123456789-_/", "000000000+++")), lambda c: F.instr(F.lit(_SIGNS), c))
         return F.struct(
             s["start"].alias("start"),
             s["end"].alias("end"),
             _by_encoding(s["enc"], lambda r: float(len(r[0]))).alias("k"),
-            _by_encoding(s["enc"], lambda r: len(r[0]) * r[1] - 1).alias("mean"),
-            _by_encoding(s["enc"], lambda r: 2 * len(r[0]) * (r[2] - r[1] ** 2) ** 0.5).alias("sd"),
-            F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: (F.instr(alphabet, c) - 1)).alias("codes"),
+            (s["enc"] == "decimal").alias("number"),
+            F.transform(characters(plain), lambda c: (F.instr(alphabet, c) - 1)).alias("codes"),
+            F.zip_with(F.slice(signs, 1, F.size(signs) - 1), F.slice(signs, 2, F.size(signs)), lambda a, b: F.element_at(bits, ((a - 1) * len(_SIGNS) + b).cast("int"))).alias("bits"),
         )
 
     df = df.withColumn(name, F.transform(name, codes))
@@ -133,7 +183,8 @@ def _battery(df: DataFrame, name: str) -> DataFrame:
         pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         zero = F.lit(0.0)
         return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"), s["mean"].alias("mean"), s["sd"].alias("sd"),
+            s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"), s["number"].alias("number"),
+            F.aggregate(s["bits"], zero, lambda a, x: a + x).alias("bits"),
             F.size(v).cast("double").alias("n"),
             F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda a, k: a + F.pow(F.size(F.filter(v, lambda x: x == k)).cast("double"), F.lit(2.0))).alias("squares"),
             F.size(F.filter(v, lambda x: x >= s["k"] / 2)).cast("double").alias("above"),
@@ -159,7 +210,8 @@ def _battery(df: DataFrame, name: str) -> DataFrame:
             _upper_tail((chi - (s["k"] - 1)) / F.sqrt(2 * (s["k"] - 1))).alias("p_uniform"),
             F.when(spread > 0, 2 * _upper_tail(F.abs(s["runs"] - pq / n - 1) / F.sqrt(spread))).otherwise(0.0).alias("p_runs"),
             F.when(variance > 0, 2 * _upper_tail(F.abs(covariance / variance) * F.sqrt(n))).otherwise(0.0).alias("p_serial"),
-            _upper_tail((s["mean"] - chi / n) / s["sd"] * F.sqrt(n)).alias("p_text"),
+            F.when(s["number"], _upper_tail((10 * SAME_TWO - 1 - chi / n) / (20 * (SAME_THREE - SAME_TWO**2) ** 0.5) * F.sqrt(n)))
+            .otherwise(_upper_tail((s["bits"] / (n - 1) - TEXT_MEAN) / F.sqrt(TEXT_BETWEEN + TEXT_WITHIN / (n - 1)))).alias("p_text"),
         )
 
     df = df.withColumn(name, F.transform(name, statistics))

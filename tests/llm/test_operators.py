@@ -423,6 +423,21 @@ def test_secrets(spark):
     assert any(s[1] == 3 for s in out[6]) and not any(s[1] == 3 for s in out[7])
 
 
+def test_random_runs_of_each_encoding(spark):
+    rng, digits, small = random.Random(9), "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    capitals = small.upper()
+    alphabets = {"hex": digits + "abcdef", "base32": capitals + "234567", "base32_lower": small + "234567", "base36_lower": digits + small, "base36_upper": digits + capitals,
+                 "letters": small + capitals, "base62": digits + small + capitals, "base64": small + capitals + digits + "+/"}
+    made = [(f"{name} {n} {k}", " ".join("".join(rng.choice(a) for _ in range(n)) for _ in range(k))) for name, a in alphabets.items() for n in (20, 32, 48, 96) for k in (1, 5) for _ in range(40 // k)]
+    plain = "test_jaccard_join_in_large_buckets keep_one_of_each_group lorevine/llm/secrets_scan shortEmptyElementsOfPages AbstractContextManager multiprocessing/synchronize Verantwortungsbewusstsein".split()
+    df = spark.createDataFrame([*made, *(("plain", t) for t in plain)], "doc_id string, text string")
+    found = defaultdict(int)
+    for r in secrets_scan.scan_secrets(df).collect():
+        found[r.doc_id] += sum(s.kind == 3 for s in r.found)
+    assert found.pop("plain") == 0
+    assert {name: n for name, n in found.items() if n < 0.8 * 40} == {}
+
+
 # pipeline
 
 
