@@ -13,17 +13,18 @@ two bands meets in a family of its own.
 Documents that meet are compared by the Hamming distance of bit sketches, in which each
 shingle toggles one bit, and only pairs within the bound are verified on whole texts.
 Equal sets are one class from the start. In a bucket of up to ``SMALL`` documents all
-pairs are candidates. In a larger one the first document is compared with all others
+pairs are candidates. In a larger one the document with the least id is compared with all others
 (a task that meets a bucket in more documents sends its task just enough to tell that it
 is large and deals the rest over all tasks); what then still belongs to different components is compared by bit sketches, in blocks of
 rows within size windows, so no pair is left out and none is emitted that the distance
 rules out.
 
 Null or empty text, or text without words, has no shingles, is linked with nothing and is
-its own component. Fewer words than a shingle has make one shingle. Repeated rows are of
-one class; rows that share a doc_id share a node. A null doc_id has no component and is
-linked with nothing. An empty table gives an empty result; further columns are ignored.
-Shingles are told apart by 64-bit hashes.
+its own component. Fewer words than a shingle has make one shingle. Inside, rows are known by
+a hash of id and text (``row_key``), so texts that share a doc_id are compared each for itself and only
+rows with the same id and text are one. A null doc_id has no component and is linked with
+nothing, unless ``grouped`` is asked to link it. An empty table gives an empty result;
+further columns are ignored. Shingles, and rows, are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from math import floor
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorevine.llm import common, graph
@@ -72,6 +73,11 @@ class _WordHashes(dict):
         return found
 
 
+def row_key() -> Column:
+    """What the join knows a row of documents by: a hash of its id and text, null text read as empty."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+
+
 def shingles(text: str | None, hashes: dict) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a whole text."""
     # bytes.lower() and bytes.split() know just A-Z, and x20 and x09 to x0D.
@@ -145,7 +151,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             second = int(np.add.reduce(mixed(h ^ _M2))) if len(h) else 0
             rows.append((len(h), first, second, bit_sketch(h)))
         columns = [np.array([r[i] for r in rows], np.uint64).view(np.int64) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns), pa.array([r[3] for r in rows], pa.binary())], ["doc_id", "n", "f1", "f2", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), *map(pa.array, columns), pa.array([r[3] for r in rows], pa.binary())], ["id", "doc_id", "n", "f1", "f2", "sketch"])
 
 
 class _Rows:
@@ -317,7 +323,8 @@ def _links(pairs: DataFrame, texts: DataFrame, sets: DataFrame, checked: bool =
             known = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
             yield batch.filter(pa.array(known.astype(bool)))
 
-    some = texts.mapInArrow(candidates, "doc_id long, text string")
+    # Rows that repeat with id and text have one key.
+    some = texts.select("doc_id", "text").mapInArrow(candidates, "doc_id long, text string").dropDuplicates(["doc_id"])
     both = pairs.join(some.toDF("b", "text_b"), "b").join(some.toDF("a", "text_a"), "a")
     return common.cut(both.mapInArrow(_verified, "a long, b long").distinct())
 
@@ -353,41 +360,58 @@ def candidate_table(pairs: DataFrame) -> np.ndarray:
     return table
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def grouped(documents: DataFrame, null_ids: bool = False) -> DataFrame:
+    """Every row's id, row key (as doc_id), number of shingles n, node and root: rows with the same shingles
+    have one node, and alike nodes one root. node is null for rows that are linked with nothing, root for nodes
+    without a link. ``null_ids``: whether rows without id are linked as well."""
     spark = documents.sparkSession
     common.workers_can_import(spark)
-    texts = common.document_text(documents).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sets = common.cut(texts.mapInArrow(_sets, "doc_id long, n long, f1 long, f2 long, sketch binary"))
+    linkable = F.lit(True) if null_ids else F.col("doc_id").cast("long").isNotNull()
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.when(linkable, row_key()).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    sets = common.cut(texts.mapInArrow(_sets, "id long, doc_id long, n long, f1 long, f2 long, sketch binary"))
     filled = sets.filter("n > 0 and doc_id is not null")
-    classes = filled.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"))
-    node_of = common.cut(filled.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("doc_id", "node", "n").distinct())
-    nodes = common.cut(node_of.filter("doc_id = node").select("node").distinct().join(filled.select(F.col("doc_id").alias("node"), "n", "sketch"), "node").dropDuplicates(["node", "n"]))
+    # Rows in the order of their ids: early documents are apt to be those that others were made from.
+    place = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("doc_id").alias("node"))
+    classes = filled.groupBy("f1", "f2", "n").agg(F.min(place).alias("place")).select("f1", "f2", "n", "place", F.col("place.node").alias("node"))
+    node_of = common.cut(filled.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("doc_id", "node", "n", "place").distinct())
+    nodes = common.cut(node_of.filter("doc_id = node").select("node").distinct().join(filled.select(F.col("doc_id").alias("node"), "n", "sketch"), "node").dropDuplicates(["node"]))
 
     n = common.parts(spark)
-    keys = texts.mapInArrow(_keys, "key long, doc_id long, spread boolean")
+    keys = texts.select("doc_id", "text").mapInArrow(_keys, "key long, doc_id long, spread boolean")
     spread = F.when(F.col("spread"), F.xxhash64("doc_id")).otherwise(F.lit(0).cast("long"))
     # No number of partitions: small ones merge, so that the checkpoint writes few files.
     met = common.cut(keys.repartition("key", spread).mapInArrow(_met, "key long, a long, b long"))
     by_id = node_of.select("doc_id", "node")
-    large = met.filter("key is not null").select("key", "a")
-    star = large.join(large.groupBy("key").agg(F.min("a").alias("first")), "key").filter("a <> first").select(F.col("first").alias("a"), F.col("a").alias("b"))
-    pairs = met.filter("key is null").select("a", "b").unionByName(star).distinct()
-    pairs = pairs.join(by_id.toDF("a", "na"), "a").join(by_id.toDF("b", "nb"), "b")
+    large = common.cut(met.filter("key is not null").select("key", "a").join(node_of.select(F.col("doc_id").alias("a"), "node", "place"), "a").select("key", "node", "place").distinct())
+    star = large.join(large.groupBy("key").agg(F.min("place")["node"].alias("first")), "key").select(F.col("first").alias("na"), F.col("node").alias("nb"))
+    pairs = met.filter("key is null").select("a", "b").distinct()
+    pairs = pairs.join(by_id.toDF("a", "na"), "a").join(by_id.toDF("b", "nb"), "b").select("na", "nb").unionByName(star)
     pairs = pairs.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).filter("a <> b").distinct()
     links = _links(pairs, texts, nodes)
     roots = graph.components(links)
 
-    hot = large.join(by_id.withColumnRenamed("doc_id", "a"), "a").select("key", "node").distinct()
-    hot = hot.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    hot = large.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed_keys = hot.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
     open_rows = common.cut(hot.join(mixed_keys.select("key", "rows"), "key"))
     if not open_rows.isEmpty():
         more = _links(_open_pairs(open_rows, nodes, n), texts, nodes, checked=True)
         if not more.isEmpty():
             roots = graph.components(links.unionByName(more))
-    out = sets.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"], "left").join(roots, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node", "doc_id").alias("component_id"))
+    of_rows = sets.filter("doc_id is not null").join(classes.drop("place"), ["f1", "f2", "n"], "left").join(roots, "node", "left").select("id", "doc_id", "n", "node", "root")
+    alone = F.lit(None).cast("long")
+    return of_rows.unionByName(sets.filter("doc_id is null").select("id", "doc_id", "n", alone.alias("node"), alone.alias("root")))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least id of the component) of every row."""
+    rows = common.cut(grouped(documents))
+    # Each node's least id first, so that few rows are left of a component that much is linked in.
+    by_node = rows.filter("node is not null").groupBy("node", "root").agg(F.min("id").alias("least"))
+    linked_nodes = common.cut(by_node.filter("root is not null"))
+    least = common.cut(linked_nodes.groupBy("root").agg(F.min("least").alias("least")))
+    named = linked_nodes.select("node", "root").join(least, "root").select("node", "least").unionByName(by_node.filter("root is null").select("node", "least"))
+    out = rows.join(named, "node", "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def _open_pairs(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:

@@ -20,11 +20,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, one row of it."""
-    found = parity_join.near_duplicates(docs.select("doc_id", "text"))
-    stays = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of each group of near duplicates: that with the smallest id, rows without id last.
+
+    Rows are grouped by their texts, whatever ids they share or lack. Of rows that have
+    id and text in common, the least of a hash of the other columns stays. Rows
+    without id and without words are like nothing and all stay.
+    """
+    rows = parity_join.grouped(docs, null_ids=True).filter("n > 0 or id is not null")
+    # Ties of the same id: by the key, a hash of the text.
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("doc_id")))["doc_id"]
+    stays = rows.groupBy(F.coalesce("root", "node", "doc_id")).agg(first.alias("_key")).select("_key")
+    wordless = F.col("doc_id").isNull() & (common.n_words(F.col("text")) == 0)
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    kept = docs.filter(~wordless).withColumn("_key", parity_join.row_key()).join(stays, "_key", "left_semi")
+    one = kept.groupBy("_key").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.md5(F.to_json(others)), F.col("text").isNull())).alias("_row"))
+    return one.select("_row.*").unionByName(docs.filter(wordless))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

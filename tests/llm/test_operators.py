@@ -459,6 +459,30 @@ def test_stages(spark, docs, rows, tmp_path):
     assert now.count() > 0
 
 
+def test_one_row_of_each_group_of_texts(spark):
+    def text(seed, n=60):
+        rng = random.Random(seed)
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    near = " ".join([*text(3).split()[:-1], "changed"])
+    rows = [(7, text(k), "a") for k in range(40)]  # one id, forty texts of the same number of shingles
+    rows += [(7, text(0), "a"), (7, text(0), "b")]  # rows that repeat
+    rows += [(50, near, "a"), (9, near + " more", "b")]  # alike one of the forty
+    rows += [(None, text(5), "a"), (None, text(90), "a"), (None, text(90), "b"), (None, "", "a"), (None, None, "b"), (60, text(90), "c"), (None, text(91), "a"), (None, text(91), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = got(stages.keep_one_of_each_group(spark, docs.repartition(5), ""), "doc_id", "text")
+    want = [(7, text(k)) for k in range(40)] + [(60, text(90)), (None, text(91)), (None, ""), (None, None)]
+    assert out == sorted(want, key=repr)
+    assert got(stages.keep_one_of_each_group(spark, docs.repartition(3), ""), *docs.columns) == got(stages.keep_one_of_each_group(spark, docs.coalesce(1), ""), *docs.columns)
+
+
+def test_jaccard_join_of_one_id_with_many_texts(spark):
+    rng = random.Random(6)
+    made = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(30)]
+    rows = [(7, " ".join(w)) for w in made] + [(100 + k, " ".join([*w[:-1], "changed"])) for k, w in enumerate(made)]
+    assert got(parity_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
 def test_run_equals_its_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
