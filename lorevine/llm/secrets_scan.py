@@ -26,7 +26,7 @@ care, since rows are handled one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorevine.llm import common
@@ -80,65 +80,59 @@ _SIGNS = _LOWER + _UPPER + "0+"
 _BLOCK = 256
 
 
-def _sum(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+# The expressions below are SQL text: one call each, where thousands of Column objects would take seconds to build.
 
 
-def _before(lengths: Column) -> Column:
-    """Sums of all elements before each one, in blocks, so that many elements stay cheap."""
-    n = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda b: _sum(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
-    each = F.transform(
-        blocks,
-        lambda _, b: F.transform(
-            F.sequence(b * _BLOCK, F.least(n, (b + 1) * _BLOCK) - 1),
-            lambda i: _sum(F.slice(blocks, 1, b)) + _sum(F.slice(lengths, b * _BLOCK + 1, i - b * _BLOCK)),
-        ),
-    )
-    return F.when(n > 0, F.flatten(each)).otherwise(F.array().cast("array<bigint>"))
+def _text(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _found(df: DataFrame, text: str, name: str, pattern: str, maybe: Column, value_group: int = 0) -> DataFrame:
+def _let(value: str, name: str, body: str) -> str:
+    """``body``, in which ``name`` is a value that is made once, inside lambdas too."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _sum(xs: str, zero: str = "0L") -> str:
+    return f"aggregate({xs}, {zero}, (sum, x) -> sum + x)"
+
+
+def _before(lengths: str) -> str:
+    """Sums of all elements before each one, in blocks of ``_BLOCK``, each array made once."""
+    n = _BLOCK
+    within = f"transform(sequence(b * {n}, least(size(own), (b + 1) * {n}) - 1), i -> base + {_sum(f'slice(own, b * {n} + 1, i - b * {n})')})"
+    each = f"flatten(transform(blocks, (unused, b) -> {_let(_sum('slice(blocks, 1, b)'), 'base', within)}))"
+    sums = f"transform(sequence(0, cast(floor((size(own) - 1) / {n}) as int)), b -> {_sum(f'slice(own, b * {n} + 1, {n})')})"
+    return _let(lengths, "own", f"if(size(own) > 0, {_let(sums, 'blocks', each)}, cast(array() as array<bigint>))")
+
+
+def _found(df: DataFrame, name: str, pattern: str, maybe: str, value_group: int = 0) -> DataFrame:
     """``name``: array of (start, end, value) of the leftmost matches of ``pattern`` that don't overlap."""
-    hit = maybe & F.col(text).rlike(pattern)
-    empty = F.array().cast("array<string>")
-    df = df.withColumn("_m", F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(empty))
-    df = df.withColumn("_v", F.when(F.size("_m") > 0, F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))).otherwise(empty) if value_group else F.col("_m"))
+    p = _text(pattern)
+    df = df.withColumn("_m", F.expr(f"if({maybe} and text rlike {p}, regexp_extract_all(text, {p}, 0), cast(array() as array<string>))"))
+    values = f"if(size(_m) > 0, regexp_extract_all(text, {p}, {value_group}), _m)" if value_group else "_m"
     # What lies between matches, and the matches, add up to the starts.
-    df = df.withColumn("_g", F.when(F.size("_m") > 0, F.transform(F.split(text, pattern, -1), lambda s: F.length(s).cast("long"))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_l", F.transform("_m", lambda s: F.length(s).cast("long")))
-    df = df.withColumn("_b", _before(F.zip_with(F.slice("_g", 1, F.size("_m")), F.col("_l"), lambda g, n: g + n)))
-    starts = F.zip_with(F.col("_b"), F.slice("_g", 1, F.size("_m")), lambda b, g: b + g)
-    spans = F.zip_with(
-        F.zip_with(starts, F.col("_l"), lambda s, n: F.struct(s.alias("start"), (s + n).alias("end"))),
-        F.col("_v"),
-        lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value")),
-    )
-    return df.withColumn(name, spans).drop("_m", "_v", "_g", "_l", "_b")
-
-
-def _upper_tail(z: Column) -> Column:
+    gaps = f"if(size(_m) > 0, transform(split(text, {p}, -1), x -> cast(length(x) as bigint)), cast(array() as array<bigint>))"
+    df = df.withColumns({"_v": F.expr(values), "_g": F.expr(gaps)})
+    starts = f"zip_with({_before('zip_with(slice(_g, 1, size(_m)), _m, (gap, m) -> gap + length(m))')}, slice(_g, 1, size(_m)), (b, gap) -> b + gap)"
+    spans = f"zip_with({starts}, arrays_zip(_m, _v), (at, x) -> named_struct('start', at, 'end', at + length(x._m), 'value', x._v))"
+    return df.withColumn(name, F.expr(spans)).drop("_m", "_v", "_g")
+
+
+def _upper_tail(z: str) -> str:
     """1 - normal distribution function, by the rational approximation of Abramowitz and Stegun (26.2.17)."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-x * x / 2) * 0.3989422804014327 * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+    poly = "t * (0.319381530D + t * (-0.356563782D + t * (1.781477937D + t * (-1.821255978D + t * 1.330274429D))))"
+    tail = _let("1 / (1 + 0.2316419D * abs(z))", "t", f"exp(-z * z / 2) * 0.3989422804014327D * {poly}")
+    return _let(z, "z", _let(tail, "tail", "if(z >= 0, tail, 1 - tail)"))
 
 
-def encoding_of(value: Column) -> Column:
+def encoding_of(value: str) -> str:
     """The narrowest alphabet that has all characters of a value."""
-    out = None
-    for name, (_, pattern) in ENCODINGS.items():
-        out = F.when(value.rlike(pattern), name) if out is None else out.when(value.rlike(pattern), name)
-    return out
+    return "case " + " ".join(f"when {value} rlike {_text(pattern)} then '{name}'" for name, (_, pattern) in ENCODINGS.items()) + " end"
 
 
-def _by_encoding(encoding: Column, pick) -> Column:
-    out = None
-    for name, row in ENCODINGS.items():
-        out = F.when(encoding == name, F.lit(pick(row))) if out is None else out.when(encoding == name, F.lit(pick(row)))
-    return out
+def _by_encoding(pick) -> str:
+    return "case e " + " ".join(f"when '{name}' then {pick(alphabet)}" for name, (alphabet, _) in ENCODINGS.items()) + " end"
 
 
 def sign_bits() -> list[float]:
@@ -153,106 +147,82 @@ def sign_bits() -> list[float]:
     return out
 
 
+def _coded() -> str:
+    """A span ``s`` with encoding ``e`` -> its alphabet's size, numbers by character, and bits by pair."""
+    characters = lambda text: f"filter(split({text}, ''), c -> c <> '')"
+    plain = characters("translate(if(e = 'hex', lower(s.value), s.value), '-_', '+/')")
+    signs = f"transform({characters("translate(s.value, '123456789-_/', '000000000+++')")}, c -> instr({_text(_SIGNS)}, c))"
+    # One literal after constant folding.
+    bits = f"cast(split('{','.join(map(str, sign_bits()))}', ',') as array<double>)"
+    taken = f"zip_with(slice(signs, 1, size(signs) - 1), slice(signs, 2, size(signs)), (a, b) -> element_at({bits}, cast((a - 1) * {len(_SIGNS)} + b as int)))"
+    alphabet = _by_encoding(_text)
+    numbers = _let(alphabet, "alphabet", f"transform({plain}, c -> instr(alphabet, c) - 1)")
+    return f"named_struct('start', s.start, 'end', s.end, 'k', {_by_encoding(lambda a: f'{len(a)}D')}, 'number', e = 'decimal', 'codes', {numbers}, 'bits', {_let(signs, 'signs', taken)})"
+
+
+def _moments() -> str:
+    """What the statistics of a coded span ``s`` are made of."""
+    pairs = "zip_with(slice(v, 1, size(v) - 1), slice(v, 2, size(v)), (a, b) -> named_struct('a', a, 'b', b))"
+    fields = {
+        "start": "s.start", "end": "s.end", "k": "s.k", "number": "s.number", "bits": _sum("s.bits", "0D"), "n": "cast(size(v) as double)",
+        "squares": "aggregate(sequence(0, 63), 0D, (sum, k) -> sum + pow(cast(size(filter(v, x -> x = k)) as double), 2D))",
+        "above": "cast(size(filter(v, x -> x >= s.k / 2)) as double)",
+        "runs": "cast(size(filter(pairs, p -> (p.a >= s.k / 2) <> (p.b >= s.k / 2))) + 1 as double)",
+        "s1": "aggregate(v, 0D, (sum, x) -> sum + x)", "s2": "aggregate(v, 0D, (sum, x) -> sum + x * x)", "s11": "aggregate(pairs, 0D, (sum, p) -> sum + p.a * p.b)",
+        "v1": "element_at(v, 1)", "vn": "element_at(v, -1)",
+    }
+    return _let("s.codes", "v", _let(pairs, "pairs", "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"))
+
+
+def _statistics() -> str:
+    """The tests' p-values of a span with moments ``s``, and how surprising it is for text."""
+    chi = "(s.k / s.n * s.squares - s.n)"
+    pq = "(2 * s.above * (s.n - s.above))"
+    spread = f"({pq} * ({pq} - s.n) / (s.n * s.n * (s.n - 1)))"
+    mean = "(s.s1 / s.n)"
+    variance = f"(s.s2 - s.n * {mean} * {mean})"
+    covariance = f"(s.s11 - {mean} * (2 * s.s1 - s.v1 - s.vn) + (s.n - 1) * {mean} * {mean})"
+    uniform = _upper_tail(f"({chi} - (s.k - 1)) / sqrt(2 * (s.k - 1))")
+    runs = f"if({spread} > 0, 2 * {_upper_tail(f'abs(s.runs - {pq} / s.n - 1) / sqrt({spread})')}, 0D)"
+    serial = f"if({variance} > 0, 2 * {_upper_tail(f'abs({covariance} / {variance}) * sqrt(s.n)')}, 0D)"
+    numbers = _upper_tail(f"({10 * SAME_TWO - 1!r}D - {chi} / s.n) / {20 * (SAME_THREE - SAME_TWO**2) ** 0.5!r}D * sqrt(s.n)")
+    letters = _upper_tail(f"(s.bits / (s.n - 1) - {TEXT_MEAN}D) / sqrt({TEXT_BETWEEN}D + {TEXT_WITHIN}D / (s.n - 1))")
+    return f"named_struct('start', s.start, 'end', s.end, 'n', s.n, 'least', least({uniform}, {runs}, {serial}), 'p_text', if(s.number, {numbers}, {letters}))"
+
+
 def _battery(df: DataFrame, name: str) -> DataFrame:
-    """``name`` as array of (start, end, value) -> those that the battery keeps."""
-    encoded = F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), encoding_of(s["value"]).alias("enc"), s["value"].alias("value")))
-    df = df.withColumn(name, encoded)
-    # One literal after constant folding, which thousands of literals wouldn't be as fast.
-    bits = F.split(F.lit(",".join(map(str, sign_bits()))), ",").cast("array<double>")
-
-    def characters(s: Column) -> Column:
-        return F.filter(F.split(s, ""), lambda c: c != "")
-
-    def codes(s: Column) -> Column:
-        plain = F.translate(F.when(s["enc"] == "hex", F.lower(s["value"])).otherwise(s["value"]), "-_", "+/")
-        alphabet = _by_encoding(s["enc"], lambda r: r[0])
-        signs = F.transform(characters(F.translate(s["value"], "123456789-_/", "000000000+++")), lambda c: F.instr(F.lit(_SIGNS), c))
-        return F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            _by_encoding(s["enc"], lambda r: float(len(r[0]))).alias("k"),
-            (s["enc"] == "decimal").alias("number"),
-            F.transform(characters(plain), lambda c: (F.instr(alphabet, c) - 1)).alias("codes"),
-            F.zip_with(F.slice(signs, 1, F.size(signs) - 1), F.slice(signs, 2, F.size(signs)), lambda a, b: F.element_at(bits, ((a - 1) * len(_SIGNS) + b).cast("int"))).alias("bits"),
-        )
-
-    df = df.withColumn(name, F.transform(name, codes))
-
-    def moments(s: Column) -> Column:
-        v = s["codes"]
-        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        zero = F.lit(0.0)
-        return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"), s["number"].alias("number"),
-            F.aggregate(s["bits"], zero, lambda a, x: a + x).alias("bits"),
-            F.size(v).cast("double").alias("n"),
-            F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda a, k: a + F.pow(F.size(F.filter(v, lambda x: x == k)).cast("double"), F.lit(2.0))).alias("squares"),
-            F.size(F.filter(v, lambda x: x >= s["k"] / 2)).cast("double").alias("above"),
-            (F.size(F.filter(pairs, lambda p: (p["a"] >= s["k"] / 2) != (p["b"] >= s["k"] / 2))) + 1).cast("double").alias("runs"),
-            F.aggregate(v, zero, lambda a, x: a + x).alias("s1"),
-            F.aggregate(v, zero, lambda a, x: a + x * x).alias("s2"),
-            F.aggregate(pairs, zero, lambda a, p: a + p["a"] * p["b"]).alias("s11"),
-            F.element_at(v, 1).alias("v1"), F.element_at(v, -1).alias("vn"),
-        )
-
-    df = df.withColumn(name, F.transform(name, moments))
-
-    def statistics(s: Column) -> Column:
-        n, up = s["n"], s["above"]
-        chi = s["k"] / n * s["squares"] - n
-        pq = 2 * up * (n - up)
-        spread = pq * (pq - n) / (n * n * (n - 1))
-        mean = s["s1"] / n
-        variance = s["s2"] - n * mean * mean
-        covariance = s["s11"] - mean * (2 * s["s1"] - s["v1"] - s["vn"]) + (n - 1) * mean * mean
-        return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), n.alias("n"),
-            _upper_tail((chi - (s["k"] - 1)) / F.sqrt(2 * (s["k"] - 1))).alias("p_uniform"),
-            F.when(spread > 0, 2 * _upper_tail(F.abs(s["runs"] - pq / n - 1) / F.sqrt(spread))).otherwise(0.0).alias("p_runs"),
-            F.when(variance > 0, 2 * _upper_tail(F.abs(covariance / variance) * F.sqrt(n))).otherwise(0.0).alias("p_serial"),
-            F.when(s["number"], _upper_tail((10 * SAME_TWO - 1 - chi / n) / (20 * (SAME_THREE - SAME_TWO**2) ** 0.5) * F.sqrt(n)))
-            .otherwise(_upper_tail((s["bits"] / (n - 1) - TEXT_MEAN) / F.sqrt(TEXT_BETWEEN + TEXT_WITHIN / (n - 1)))).alias("p_text"),
-        )
-
-    df = df.withColumn(name, F.transform(name, statistics))
-    m = F.size(name)
-    lengths = F.aggregate(name, F.lit(0.0), lambda a, s: a + s["n"])
-    df = df.withColumn(
-        name, F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.least(s["p_uniform"], s["p_runs"], s["p_serial"]).alias("least"), (s["p_text"] * lengths / (m * s["n"])).alias("p")))
-    )
-    df = df.withColumn("_p", F.array_sort(F.transform(name, lambda s: s["p"])))
-    passing = F.filter(F.transform("_p", lambda p, i: F.when(p <= FALSE_SHARE * (i + 1) / F.size("_p"), p)), lambda p: p.isNotNull())
-    df = df.withColumn("_p", F.coalesce(F.array_max(passing), F.lit(-1.0)))
-    return df.withColumn(name, F.filter(name, lambda s: (s["least"] >= REJECT) & (s["p"] <= F.col("_p")))).drop("_p")
+    """``name`` as array of (start, end, value) -> (start, end, least, p) of those that the battery keeps."""
+    for step in (_let(encoding_of("s.value"), "e", _coded()), _moments(), _statistics()):
+        df = df.withColumn(name, F.expr(f"transform({name}, s -> {step})"))
+    # Each run's p-value is weighted by its length: times the mean length, over its own.
+    mean = f"aggregate({name}, 0D, (sum, s) -> sum + s.n) / size({name})"
+    weighted = _let(mean, "mean", f"transform({name}, s -> named_struct('start', s.start, 'end', s.end, 'least', s.least, 'p', s.p_text * mean / s.n))")
+    # The procedure: all up to the last p-value that is below its step.
+    limit = _let("array_sort(transform(every, s -> s.p))", "ps", f"coalesce(array_max(transform(ps, (p, i) -> if(p <= {FALSE_SHARE}D * (i + 1) / size(ps), p, null))), -1D)")
+    kept = _let(limit, "most", f"filter(every, s -> s.least >= {REJECT}D and s.p <= most)")
+    return df.withColumn(name, F.expr(f"if(size({name}) > 0, {_let(weighted, 'every', kept)}, cast(array() as array<struct<start: bigint, end: bigint, least: double, p: double>>))"))
 
 
 def scan_secrets(documents: DataFrame) -> DataFrame:
     """doc_id and ``found``: array of (start, kind number, end), by start and kind."""
     df = common.document_text(documents)
-    text = F.col("text")
-    df = _found(df, "text", "assign", ASSIGN, text.contains(":") | text.contains("="), 2)
-    df = df.withColumn("assign", F.filter("assign", lambda s: F.length(s["value"]) >= LEAST_VALUE))
-    df = _found(df, "text", "access", ACCESS, text.contains("AKIA"))
-    df = _found(df, "text", "hex", HEX, F.lit(True))
-    df = _battery(_found(df, "text", "random", RUNS, F.lit(True)), "random")
-    def numbered(k: int) -> Column:
-        return F.transform(KINDS[k], lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
+    df = _found(df, "assign", ASSIGN, "(contains(text, ':') or contains(text, '='))", 2)
+    df = df.withColumn("assign", F.expr(f"filter(assign, s -> length(s.value) >= {LEAST_VALUE})"))
+    df = _found(df, "access", ACCESS, "contains(text, 'AKIA')")
+    df = _found(df, "hex", HEX, "true")
+    df = _battery(_found(df, "random", RUNS, "true"), "random")
+    every = ", ".join(f"transform({kind}, s -> named_struct('start', s.start, 'kind', {k}, 'end', s.end))" for k, kind in enumerate(KINDS))
+    return df.select("doc_id", F.expr(f"array_sort(concat({every}))").alias("found"))
 
-    every = F.concat(*map(numbered, range(len(KINDS))))
-    return df.select("doc_id", F.array_sort(every).alias("found"))
 
-
-def _listed(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+def _listed(spans: str) -> str:
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    return f"array_join(transform({spans}, s -> concat_ws(':', element_at(array({names}), s.kind + 1), cast(s.start as string), cast(s.end as string))), ',')"
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: base spans counted and digested, and all spans."""
     found = scan_secrets(common.table(spark, sf_dir, "documents"))
-
-    def count(k: int) -> Column:
-        return F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-
-    base = F.filter("found", lambda s: s["kind"] < 3)
-    return found.select("doc_id", *map(count, range(3)), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
+    counts = [F.expr(f"cast(size(filter(found, s -> s.kind = {k})) as bigint)").alias(f"n_{KINDS[k]}") for k in range(3)]
+    base = F.expr(f"sha2({_listed('filter(found, s -> s.kind < 3)')}, 256)").alias("base_sha256")
+    return found.select("doc_id", *counts, base, F.expr(_listed("found")).alias("spans"))
