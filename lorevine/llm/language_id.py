@@ -3,21 +3,24 @@
 Words are labelled with languages. The features of a word are its prefixes and suffixes,
 its character n-grams and its presence in the lexicons of frequent words of each
 language; transitions between labels are learned with them. Training sequences are
-slices of labelled texts, of which every second is spliced from two texts in different
-languages, so that the chain learns how languages switch. A text's words are decoded by
+stretches of ``STRETCH`` words that together make up the whole labelled texts; every second one is
+spliced with a stretch in another language, so that the chain learns how languages
+switch. A text's words are decoded by
 forward-backward, exactly and in whole, and the label with the most expected letters is
-its language; the score is that label's share.
+its language (of equal ones the first by code point); the score is that label's share.
 
-The model is fitted on at most ``SAMPLE_DOCS`` texts of each language (``SAMPLE_LANGS``
-languages, the most frequent), with ``SLICE_CHARS`` characters of each. Texts are scored
+The model is fitted on whole texts: at most ``SAMPLE_DOCS`` of each language, fewer where
+that would be more than ``SAMPLE_ROWS`` in all, but one of each at least. Every lang value outside the held-out fold
+is a label. Texts are scored
 where they are read, without a shuffle; a task scores the distinct words of some hundred
 texts at once and runs texts of like length through the chain together, within a bound of
 cells. Beside these bounds, memory follows the longest single text.
 
 Null text, or text without a letter, is ``und`` with score 0, as is every text where
 there is nothing to learn from. Rows without lang are not learned from. Ids are only used
-for the fold and the order of the sample; a null id hashes as the empty string. Repeated
-rows are scored alike; further columns are ignored.
+for the fold and the order of the sample; a null id hashes as the empty string. Several texts
+of one id and lang are each a row of the sample, in the order of their hashes. Repeated
+rows are learned from once and scored alike; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +37,13 @@ from pyspark.sql.window import Window
 
 from lorevine.llm import common
 
-SAMPLE_DOCS, SAMPLE_LANGS, SLICE_CHARS = 250, 64, 1200
+#: Bounds of the training sample: whole texts of each language, and in all.
+SAMPLE_DOCS, SAMPLE_ROWS = 80, 2000
+#: Words of a training sequence.
+STRETCH = 120
 LEXICON = 400
 BITS = 17
-STEPS, RATE, PENALTY = 60, 0.3, 1e-4
+STEPS, RATE, PENALTY = 25, 0.3, 1e-4
 #: Cells (words by labels) that go through the chain at once.
 CELLS = 1 << 21
 
@@ -86,10 +92,11 @@ class Crf:
         return np.stack([np.bincount(of, weights=self.emissions[ids, k], minlength=len(words)) for k in range(len(self.labels))], 1).astype(np.float32)
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals (time, sequence, label) of sequences in descending length, and scaling factors.
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+    """Marginals (time, sequence, label) of sequences in descending length.
 
-    ``scores`` are exponentiated emissions; messages are scaled to sum to 1.
+    ``scores`` are exponentiated emissions; messages are scaled to sum to 1. The expected
+    number of each transition is added to ``pairs``, where it is given.
     """
     time, n, labels = scores.shape
     forward = np.empty_like(scores)
@@ -108,10 +115,13 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
         b = np.ones((m, labels), scores.dtype)
         if t + 1 < time and live[t + 1]:
             k = live[t + 1]
-            b[:k] = (back[:k] * scores[t + 1, :k]) @ transitions.T / scale[t + 1, :k, None]
+            ahead = back[:k] * scores[t + 1, :k] / scale[t + 1, :k, None]
+            b[:k] = ahead @ transitions.T
+            if pairs is not None:
+                pairs += transitions * (forward[t, :k].T @ ahead)
         back = b
         marginals[t, :m] = forward[t, :m] * b
-    return marginals, scale
+    return marginals
 
 
 def train(rows: list[tuple[str, str]]) -> Crf | None:
@@ -127,15 +137,18 @@ def train(rows: list[tuple[str, str]]) -> Crf | None:
     for k, c in enumerate(counts):
         for w, _ in c.most_common(LEXICON):
             lexicons.setdefault(w, []).append(k)
-    # Every second sequence is spliced with the next one in another language.
+    stretches = [(words[i : i + STRETCH], lang) for words, lang in rows for i in range(0, len(words), STRETCH)]
+    # The next stretch in another language, for each one: languages change seldom along the list.
+    after: list[int | None] = [None] * len(stretches)
+    for i in range(len(stretches) - 2, -1, -1):
+        after[i] = i + 1 if stretches[i + 1][1] != stretches[i][1] else after[i + 1]
     sequences = []
-    for i, (words, lang) in enumerate(rows):
-        other = next((r for r in rows[i + 1 : i + 40] + rows[:40] if r[1] != lang), None) if i % 2 else None
-        own = words[:120]
-        if other:
-            half = len(own) // 2
-            tail = other[0][:half]
-            sequences.append((own[: len(own) - half] + tail, [number[lang]] * (len(own) - half) + [number[other[1]]] * len(tail)))
+    for i, (own, lang) in enumerate(stretches):
+        # Every second one goes on in another language.
+        if i % 2 and after[i] is not None:
+            other, there = stretches[after[i]]
+            tail = other[: max(1, len(own) // 2)]
+            sequences.append((own + tail, [number[lang]] * len(own) + [number[there]] * len(tail)))
         else:
             sequences.append((own, [number[lang]] * len(own)))
     sequences = sorted((s for s in sequences if s[0]), key=lambda s: -len(s[0]))
@@ -159,12 +172,11 @@ def train(rows: list[tuple[str, str]]) -> Crf | None:
         scores = by_word[at]
         scores = np.exp(scores - scores.max(2, keepdims=True))
         step = np.exp(trans - trans.max())
-        marginals, scale = forward_backward(scores, lengths, step)
+        expected = np.zeros((k, k))
+        marginals = forward_backward(scores, lengths, step, expected)
         error = (gold - marginals) * mask[:, :, None]
         per_word = np.stack([np.bincount(at[mask], weights=error[:, :, c][mask], minlength=len(vocabulary)) for c in range(k)], 1)
         grad = np.stack([np.bincount(of, weights=per_word[of_word, c], minlength=len(used)) for c in range(k)], 1) / n - PENALTY * w
-        # Expected transitions from marginals of neighbours, by the messages of forward_backward.
-        expected = expected_transitions(scores, lengths, step)
         grad_t = (pairs - expected) / n - PENALTY * trans
         gw += grad**2
         gt += grad_t**2
@@ -174,33 +186,12 @@ def train(rows: list[tuple[str, str]]) -> Crf | None:
     return Crf(labels, weights.astype(np.float32), np.exp(trans - trans.max()).astype(np.float32), lexicons)
 
 
-def expected_transitions(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Sum over time and sequences of the pair marginals."""
-    marginals, scale = forward_backward(scores, lengths, transitions)
-    time, n, k = scores.shape
-    total = np.zeros((k, k))
-    message = None
-    forward = np.zeros_like(scores)
-    live = (lengths[None, :] > np.arange(time)[:, None]).sum(1)
-    for t in range(time):
-        m = live[t]
-        a = (message[:m] @ transitions if t else np.full((m, k), 1.0 / k)) * scores[t, :m]
-        message = forward[t, :m] = a / scale[t, :m, None]
-    for t in range(time - 1):
-        m = live[t + 1]
-        if m:
-            # marginal = forward * backward, so backward is their quotient where forward isn't nothing
-            back = marginals[t + 1, :m] / np.maximum(forward[t + 1, :m], 1e-300)
-            total += transitions * (forward[t, :m].T @ (scores[t + 1, :m] * back / scale[t + 1, :m, None]))
-    return total
-
-
 def label_words(model: Crf, words: list[str]) -> list[str]:
     """The most probable label of each word of one text."""
     if not words:
         return []
     e = model.emission(words)
-    marginals, _ = forward_backward(np.exp(e - e.max(1, keepdims=True))[:, None, :], np.array([len(words)]), model.transitions)
+    marginals = forward_backward(np.exp(e - e.max(1, keepdims=True))[:, None, :], np.array([len(words)]), model.transitions)
     return [model.labels[k] for k in marginals[:, 0].argmax(1)]
 
 
@@ -228,7 +219,7 @@ def expected_shares(model: Crf, documents: list[list[str]]) -> list[np.ndarray]:
             at = np.fromiter(map(number.__getitem__, documents[i]), np.int64, lengths[j])
             scores[: lengths[j], j] = e[at]
             letters[: lengths[j], j] = sizes[at]
-        marginals, _ = forward_backward(scores, lengths, model.transitions)
+        marginals = forward_backward(scores, lengths, model.transitions)
         shares = np.einsum("tn,tnk->nk", letters, marginals, dtype=np.float64)
         for j, i in enumerate(group):
             out[i] = shares[j] / shares[j].sum()
@@ -241,17 +232,17 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(documents: DataFrame) -> list[tuple[str, str]]:
-    """The bounded sample: (slice of text, lang), in a fixed order."""
-    known = documents.select("doc_id", "lang").filter(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull())
-    langs = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS).collect()]
-    known = known.filter(F.col("lang").isin(langs)).withColumn("key", common.order_hash("doc_id", "lang"))
-    picked = known.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).filter(F.col("at") <= SAMPLE_DOCS)
-    # At most SAMPLE_DOCS * SAMPLE_LANGS ids: that bound is what makes the broadcast safe.
-    picked = picked.select("doc_id", "lang", "key").distinct()
-    cut = F.expr(f"substring(text, 1 + pmod(xxhash64(doc_id), greatest(1, length(text) - {SLICE_CHARS})), {SLICE_CHARS})")
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(F.broadcast(picked), ["doc_id", "lang"])
-    got = rows.select("key", "lang", cut.alias("text")).dropDuplicates(["key"]).collect()
-    return [(r.text, r.lang) for r in sorted(got, key=lambda r: r.key)]
+    """The bounded sample: (whole text, lang), in a fixed order."""
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.filter(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull()).withColumn("digest", F.xxhash64("text"))
+    n_langs = max(1, rows.select("lang").distinct().count())
+    most = max(1, min(SAMPLE_DOCS, SAMPLE_ROWS // n_langs))
+    known = rows.select("doc_id", "lang", "digest", common.order_hash("doc_id", "lang").alias("key"))
+    picked = known.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("key", "digest"))).filter(F.col("at") <= most)
+    # At most SAMPLE_ROWS ids, or one for each label: that bound is what makes the broadcast safe.
+    picked = picked.select("doc_id", "lang", "digest", "key").distinct()
+    got = rows.join(F.broadcast(picked), ["doc_id", "lang", "digest"]).select("key", "digest", "lang", "text").dropDuplicates(["key", "digest"]).collect()
+    return [(r.text, r.lang) for r in sorted(got, key=lambda r: (r.key, r.digest))]
 
 
 def identify(texts: DataFrame, model: Crf | None) -> DataFrame:
