@@ -2,24 +2,30 @@
 
 Records are hashed by id into ``N_SLOTS`` virtual slots, bytes and rows are added up per
 slot, and a map from slot to shard is edited until the shards weigh about the same. The
-map is the only state: version 0 deals the slots out in turn, every rebalancing writes a
-new version, moves few slots and leaves the rest where they are. Rows of one id that
-alone would fill a slot beyond its share are salted over the slots that follow, by the
-crc of the text and then by their number within the slot, so that a hot id is split too.
+map is the only state, and it is stored: version 0 deals the slots out in turn, every
+rebalancing edits the latest stored version, moves few slots and leaves the rest where
+they are, and appends the next one. Rows are placed by joining the stored version, which
+has ``n_slots`` rows. Law: ``bytes``.
+
+Rows with the same id, size and checksum are one row with a number of copies until the
+end. Where the rows of one home slot alone weigh more than a quarter of a shard, they are
+salted over the slots that follow: by the checksum of the text, and copies in turn, so that
+a hot id is split and the same rows are dealt alike in whatever files they lie.
 
 The texts are read once and only ids, sizes and checksums are shuffled. What the driver
-holds is the table of slots, whose length is the parameter ``n_slots``. Law: ``bytes``.
+holds is the table of slots, whose length is the parameter ``n_slots``.
 
 Null text has no bytes and checksum 0; a null id hashes like any other value. Repeated
-rows are separate rows with places of their own. An empty table gives an empty result,
-and further columns are ignored.
+rows are separate rows with places of their own; rows that only differ in other columns are
+interchangeable. An empty table gives an empty result, and further columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,6 +34,8 @@ from lorevine.llm import common
 N_SLOTS = 4096
 N_SHARDS = 40
 ROW_BYTES = 16
+#: Copies of a row that are numbered at once.
+COPIES_AT_ONCE = 1 << 14
 
 
 def first_map(n_slots: int = N_SLOTS, n_shards: int = N_SHARDS) -> list[int]:
@@ -62,68 +70,96 @@ def rebalanced(current: list[int], slot_bytes: dict[int, int], n_shards: int) ->
     return shard_of
 
 
-def map_table(spark: SparkSession, version: int, shard_of: list[int]) -> DataFrame:
-    """A version of the map as rows of version, slot and shard, to be stored."""
-    slots = F.posexplode(F.array(*[F.lit(x) for x in shard_of]))
-    return spark.range(1).select(F.lit(version).alias("version"), slots.alias("slot", "shard"))
+def _slot_table(spark: SparkSession, **columns: list[int]) -> DataFrame:
+    """slot and a column of numbers for each list, by slot: one literal each, whatever their length."""
+    numbers = [F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>").alias(name) for name, values in columns.items()]
+    rows = F.posexplode(F.arrays_zip(*numbers)).alias("slot", "row")
+    return spark.range(1).select(rows).select("slot", *[F.col(f"row.{name}").alias(name) for name in columns])
 
 
 def store_map(spark: SparkSession, path: str, version: int, shard_of: list[int]) -> None:
     """Append a version; versions are never changed."""
-    map_table(spark, version, shard_of).write.mode("append").partitionBy("version").parquet(path)
+    rows = _slot_table(spark, shard=shard_of).select("slot", F.col("shard").cast("int").alias("shard"))
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
-def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[int]:
-    """A stored version, by default the latest."""
-    kept = spark.read.parquet(path)
-    version = kept.agg(F.max("version")).first()[0] if version is None else version
-    rows = kept.filter(F.col("version") == version).select("slot", "shard").collect()  # n_slots rows
-    return [r.shard for r in sorted(rows, key=lambda r: r.slot)]
+def stored_map(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """slot and shard of a stored version."""
+    return spark.read.schema("slot int, shard int").parquet(f"{path}/version={version}")
 
 
-def _looked_up(values: list[int], slot: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in values]), slot + 1)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The stored versions, in order; none where nothing is stored yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("version="))
 
 
-def shard(documents: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, current: list[int] | None = None) -> DataFrame:
-    """Every row with size, text_crc32, virtual_slot, shard and slot (its place in the shard)."""
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[int]:
+    """A stored version as a list by slot, by default the latest."""
+    version = versions(spark, path)[-1] if version is None else version
+    return [r.shard for r in sorted(stored_map(spark, path, version).collect(), key=lambda r: r.slot)]  # n_slots rows
+
+
+def counted_rows(documents: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32, home slot and number of copies of the rows."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    ids = documents.select(
-        "doc_id",
-        (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.lit(n_slots)).cast("int").alias("home"),
-    )
-    return _placed(common.cut(ids), n_shards, n_slots, current)
-
-
-def _placed(ids: DataFrame, n_shards: int, n_slots: int, current: list[int] | None) -> DataFrame:
-    homes = ids.groupBy("home").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # at most n_slots rows
-    total = sum(r["bytes"] for r in homes)
-    share = max(1, total // (4 * n_shards))
-    #: How many slots a home is spread over: 1 but where one id weighs more than a quarter of a shard.
+    ids = documents.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    home = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.lit(n_slots)).cast("int")
+    return ids.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")).withColumn("home", home)
+
+
+def _salted(rows: DataFrame, n_slots: int, n_shards: int) -> DataFrame:
+    """``rows`` with virtual_slot, and with the copies that each slot gets."""
+    homes = rows.groupBy("home").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("n")).collect()  # at most n_slots rows
+    share = max(1, sum(r["bytes"] for r in homes) // (4 * n_shards))
+    #: How many slots a home is spread over: 1 but where it weighs more than a quarter of a shard.
     spread = [1] * n_slots
     for r in homes:
         spread[r["home"]] = min(n_slots, max(1, -(-r["bytes"] // share))) if r["n"] > 1 else 1
-    if max(spread) > 1:
-        # Rows of a hot home are dealt out by their checksum and a number of the task's own.
-        salt = F.pmod(F.xxhash64("text_crc32", F.monotonically_increasing_id()), _looked_up(spread, F.col("home")))
-        ids = common.cut(ids.withColumn("virtual_slot", F.pmod(F.col("home") + F.when(_looked_up(spread, F.col("home")) > 1, salt).otherwise(0), F.lit(n_slots)).cast("int")))
-    else:
-        ids = ids.withColumn("virtual_slot", F.col("home"))
-    slots = {r["virtual_slot"]: r for r in ids.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
-    shard_of = rebalanced(current or first_map(n_slots, n_shards), {k: r["bytes"] for k, r in slots.items()}, n_shards)
+    if max(spread) == 1:
+        return rows.withColumn("virtual_slot", F.col("home")).drop("home")
+    wide = rows.join(F.broadcast(_slot_table(rows.sparkSession, spread=spread).withColumnRenamed("slot", "home")), "home")
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.least("copies", "spread") - 1)).alias("turn")
+    dealt = wide.select("doc_id", "size", "text_crc32", "home", "spread", "copies", turn)
+    own = F.expr("copies div spread") + F.when(F.col("turn") < F.col("copies") % F.col("spread"), 1).otherwise(0)
+    slot = F.pmod(F.col("home") + F.pmod(F.xxhash64("text_crc32") + F.col("turn"), "spread"), F.lit(n_slots)).cast("int")
+    return common.cut(dealt.select("doc_id", "size", "text_crc32", own.cast("long").alias("copies"), slot.alias("virtual_slot")))
+
+
+def shard(documents: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
+    """Every row with size, text_crc32, virtual_slot, shard and slot (its place in the shard).
+
+    ``map_path`` is the folder of the versioned map, by default a new one in the shared
+    folder. The latest version there is edited, and the edited one is stored and joined.
+    """
+    spark = documents.sparkSession
+    map_path = map_path or f"{common.shared_folder(spark)}/slot-map-{uuid4().hex}"
+    if not versions(spark, map_path):
+        store_map(spark, map_path, 0, first_map(n_slots, n_shards))
+    latest = versions(spark, map_path)[-1]
+    rows = _salted(common.cut(counted_rows(documents, n_slots)), n_slots, n_shards)
+    sums = rows.groupBy("virtual_slot").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("n"))
+    slots = {r["virtual_slot"]: r for r in sums.collect()}  # at most n_slots rows
+    shard_of = rebalanced(load_map(spark, map_path, latest), {k: r["bytes"] for k, r in slots.items()}, n_shards)
+    store_map(spark, map_path, latest + 1, shard_of)
     # Places: slots of a shard follow each other, rows are numbered within their slot.
     before, used = [0] * n_slots, [0] * n_shards
     for slot in range(n_slots):
         before[slot] = used[shard_of[slot]]
         used[shard_of[slot]] += slots[slot]["n"] if slot in slots else 0
-    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    return (
-        ids.withColumn("shard", _looked_up(shard_of, F.col("virtual_slot")))
-        .withColumn("slot", (within - 1 + F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("virtual_slot") + 1)).cast("long"))
-        .drop("home")
-    )
+    places = stored_map(spark, map_path, latest + 1).join(_slot_table(spark, before=before), "slot").withColumnRenamed("slot", "virtual_slot")
+    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("until", F.sum("copies").over(within)).join(F.broadcast(places), "virtual_slot")
+    first = F.col("before") + F.col("until") - F.col("copies")
+    placed = placed.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", "copies", first.alias("first"))
+    # Copies are numbered in blocks, so that no array is longer than a block.
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES_AT_ONCE).cast("long"))).alias("block")
+    placed = placed.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", "copies", "first", blocks)
+    last = F.least(F.col("copies"), F.col("block") + COPIES_AT_ONCE) - 1
+    slot = F.explode(F.sequence(F.col("first") + F.col("block"), F.col("first") + last)).alias("slot")
+    return placed.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", slot)
 
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
