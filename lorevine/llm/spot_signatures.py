@@ -2,10 +2,10 @@
 
 A signature is a common word (the anchor) with the next ``CHAIN`` content words after it,
 looked for within ``REACH`` words; the fingerprint is the set of hashed signatures. Sets
-are partitioned by their length in ranges so wide that sets which may be alike at the
-threshold are in one range or in neighbouring ones, and compared by a Jaccard likeness
-that the lengths bound from above: sets without a common range are pruned in the pair
-search, and sets with no length at all are never intersected.
+are partitioned by their length, in ranges so wide that sets which may be as alike as a
+threshold asks are in one range or in neighbouring ones. Sets further apart, and those whose
+lengths alone keep their Jaccard likeness under the threshold, are pruned: they are never intersected and
+their likeness counts as 0. The query compares with the threshold ``PRUNED``, the pair search ``alike`` with ``THRESHOLD``.
 
 Everything is a column expression. Texts move once, dealt out by ranges of ids whose
 bounds come from quantiles, for the lookup of a document's neighbour in the order of ids.
@@ -35,16 +35,26 @@ ANCHORS = (
     "als auch auf das dem den der die ein eine für im ist mit nicht sich sie und von zu "
     "al como con del el ella es las lo los más no para pero por se su una y"
 ).split()
-THRESHOLD = 0.8
+#: Least likeness that the pair search looks for, and least one that the query tells from nothing.
+THRESHOLD, PRUNED = 0.8, 0.2
+#: Hexadecimal digits of a hashed signature.
+DIGITS = 16
+
+
+def hashed(value: Column) -> Column:
+    return F.left(F.md5(value), F.lit(DIGITS))
 
 
 def chains(words: Column) -> Column:
     """The hashed signature at each anchor of an array of words."""
     return F.transform(
         F.filter(F.transform(words, lambda w, i: F.when(w.isin(ANCHORS), i).otherwise(-1)), lambda i: i >= 0),
-        lambda i: F.xxhash64(
-            F.element_at(words, i + 1),
-            F.array_join(F.slice(F.filter(F.slice(words, i + 2, REACH), lambda w: ~w.isin(ANCHORS)), 1, CHAIN), " "),
+        lambda i: hashed(
+            F.concat_ws(
+                " ",
+                F.element_at(words, i + 1),
+                F.array_join(F.slice(F.filter(F.slice(words, i + 2, REACH), lambda w: ~w.isin(ANCHORS)), 1, CHAIN), " "),
+            )
         ),
     )
 
@@ -53,26 +63,32 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with ``name``, the set of signatures of the column ``text``; each step is made once."""
     df = df.withColumn("_w", F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     df = df.withColumn("_s", chains(F.col("_w")))
-    whole = F.array(F.xxhash64(text))
-    df = df.withColumn("_s", F.when(F.size("_s") > 0, F.col("_s")).when(F.size("_w") > 0, F.transform("_w", lambda w: F.xxhash64(w))).otherwise(whole))
+    whole = F.array(hashed(F.col(text)))
+    df = df.withColumn("_s", F.when(F.size("_s") > 0, F.col("_s")).when(F.size("_w") > 0, F.transform("_w", hashed)).otherwise(whole))
     return df.withColumn(name, F.array_sort(F.array_distinct("_s"))).drop("_w", "_s")
 
 
 def length_range(n: Column, threshold: float = THRESHOLD) -> Column:
     """The partition of a set by its length: ranges grow by the factor 1/threshold."""
-    return F.floor(F.log(F.greatest(n, F.lit(1))) / math.log(1 / threshold)).cast("int")
+    # The small number keeps a length that is a power of the factor in the range it begins.
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
+
+
+def comparable(a: Column, b: Column, threshold: float) -> Column:
+    """Whether sets of these lengths are in one range or neighbouring ones, and may be as alike as the threshold."""
+    near = F.abs(length_range(a, threshold) - length_range(b, threshold)) <= 1
+    return near & (F.least(a, b) >= F.greatest(a, b) * threshold)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two sets; an empty bound by lengths prunes the intersection."""
-    bound = F.least(F.size(a), F.size(b)) / F.greatest(F.size(a), F.size(b), F.lit(1))
+def likeness(a: Column, b: Column, threshold: float = PRUNED) -> Column:
+    """Jaccard likeness of two sets; 0, without an intersection, where lengths prune the pair."""
     both = F.size(F.array_intersect(a, b))
-    return F.when(bound == 0, F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both)).cast("double")
+    return F.when(comparable(F.size(a), F.size(b), threshold), both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0)).cast("double")
 
 
 def fingerprint(signature_set: Column) -> Column:
     """The set as text: 16 hex digits a signature."""
-    return F.array_join(F.transform(signature_set, lambda s: F.lower(F.lpad(F.hex(s), 16, "0"))), "")
+    return F.array_join(signature_set, "")
 
 
 def alike(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -94,9 +110,9 @@ def alike(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left = prefix.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
     right = prefix.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "sig", "part")
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    pairs = left.join(right, ["sig", "part"]).filter(ordered & (F.col("na") >= F.col("nb") * threshold)).select("a", "b").distinct()
+    pairs = left.join(right, ["sig", "part"]).filter(ordered & comparable(F.col("na"), F.col("nb"), threshold)).select("a", "b").distinct()
     whole = pairs.join(one.select(F.col("class_id").alias("a"), F.col("sigs").alias("sa")), "a").join(one.select(F.col("class_id").alias("b"), F.col("sigs").alias("sb")), "b")
-    return whole.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).filter(F.col("likeness") >= threshold), members
+    return whole.select("a", "b", likeness(F.col("sa"), F.col("sb"), threshold).alias("likeness")).filter(F.col("likeness") >= threshold), members
 
 
 def _bounds(ids: DataFrame, n: int) -> list:
@@ -152,3 +168,22 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
+
+
+_ANCHORS_SQL = "[" + ", ".join(f"'{w}'" for w in ANCHORS) + "]"
+#: The same rows in DuckDB SQL.
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next FROM d WINDOW o AS (ORDER BY doc_id DESC NULLS LAST, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(next, length(text) // 2) AS edited FROM n),
+t AS (SELECT text FROM e UNION SELECT next FROM e UNION SELECT edited FROM e),
+w AS (SELECT text, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM t),
+s AS (SELECT text, w, list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains({_ANCHORS_SQL}, w[i])),
+  lambda i: md5(w[i] || ' ' || array_to_string(list_filter(w[i + 1 : i + {REACH}], lambda x: NOT list_contains({_ANCHORS_SQL}, x))[1 : {CHAIN}], ' '))) AS s FROM w),
+f AS (SELECT text, list_sort(list_distinct(list_transform(CASE WHEN len(s) > 0 THEN s WHEN len(w) > 0 THEN list_transform(w, lambda x: md5(x)) ELSE [md5(text)] END, lambda x: left(x, {DIGITS})))) AS f FROM s),
+j AS (SELECT doc_id, length(e.text) AS n_chars, edited, a.f AS a, b.f AS b, c.f AS c FROM e JOIN f a ON a.text = e.text JOIN f b ON b.text = e.edited JOIN f c ON c.text = e.next)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+  CASE WHEN least(len(a), len(b)) >= {PRUNED} * greatest(len(a), len(b)) THEN len(list_intersect(a, b)) / CAST(len(a) + len(b) - len(list_intersect(a, b)) AS DOUBLE) ELSE 0.0 END AS near_edited,
+  CASE WHEN least(len(a), len(c)) >= {PRUNED} * greatest(len(a), len(c)) THEN len(list_intersect(a, c)) / CAST(len(a) + len(c) - len(list_intersect(a, c)) AS DOUBLE) ELSE 0.0 END AS near_next
+FROM j
+"""
