@@ -195,3 +195,26 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     return digests(format_chats(rows.unionByName(planted)))
+
+
+def _sql(template: Template) -> str:
+    """The query's rows in DuckDB SQL: an escape is one character at each place where a control string starts."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    places = " + ".join(f"(length({{t}}) - length(replace({{t}}, {quoted(c)}, ''))) // {len(c)}" for c in [*template.controls(), ESCAPE])
+    long = f"(length({{t}}) + {places})"
+    marks = " ".join(f"WHEN {quoted(role)} THEN {len(before) + len(after)}" for role, (before, after, _) in template.roles.items())
+    allowed = " OR ".join(f"before = {quoted(role)} AND role IN ({', '.join(map(quoted, after))})" for role, after in template.turns.items())
+    loss = ", ".join(quoted(role) for role, (_, _, loss) in template.roles.items() if loss)
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', {quoted(PLANTED)}), (-7, 1, 'assistant', {quoted(PLANTED)}))),
+t AS (SELECT *, row_number() OVER o - 1 AS k, coalesce(lag(role) OVER o, '') AS before FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role IN ({loss})), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role IN ({loss})), '')) AS loss_sha256,
+  CAST({len(template.begin) + len(template.end)} + sum(CASE role {marks} ELSE {sum(map(len, template.other))} + {long.format(t='role')} END + {long.format(t='text')}) AS BIGINT) AS formatted_chars,
+  min(k) FILTER (NOT ({allowed})) AS first_wrong
+FROM t GROUP BY conv_id
+"""
+
+
+OP4_SQL = _sql(TEMPLATE)
