@@ -93,7 +93,7 @@ def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHA
 
     rows = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.source_quota", "s.shards")
     rows = rows.withColumn("order_key", common.order_hash("doc_id"))
-    rows = common.cut(rows.withColumn("shard", F.pmod(F.xxhash64("order_key"), F.col("shards"))))
+    rows = common.cut(rows.withColumn("shard", F.conv(F.left("order_key", F.lit(8)), 16, 10).cast("long") % F.col("shards")))
     shards = rows.groupBy("source", "shard").agg(F.sum("words").alias("shard_size"), F.max("source_quota").alias("source_quota"))
     shards = sainte_lague(shards.withColumn("claim", F.col("shard_size").cast("double")), ["source"], "claim", "source_quota", [F.col("shard")])
 
@@ -127,3 +127,28 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(sized_rows(common.table(spark, sf_dir, "documents")))
     each = mixed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return each.select("doc_id", "size", "source_size", "target", taken_words(F.col("copy")).alias("taken"))
+
+
+#: The same rows in DuckDB SQL, every quotient made. It needs unique ids.
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, CAST(source AS VARCHAR) AS source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS source_rows FROM d GROUP BY source),
+w AS (SELECT *, {list(map(float, WEIGHTS))}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS weight, source_size * {MOST}::DOUBLE AS cap, sum(source_size) OVER () * {SHARE}::DOUBLE AS every FROM s),
+v AS (SELECT *, row_number() OVER o AS turn, (every - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+f AS (SELECT min_by(level, turn) AS final FROM v WHERE level * weight < cap),
+t AS (SELECT source, source_size, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * weight) END AS target,
+  CAST(greatest(1, ceil(source_size / {SHARD_WORDS}), ceil(source_rows / {SHARD_ROWS})) AS BIGINT) AS shards FROM v, f),
+b AS (SELECT CAST(floor(sum(target) / {BLOCK_WORDS} + 0.5) AS BIGINT) AS blocks FROM t),
+q AS (SELECT source, count(*) AS quota FROM (SELECT source, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source NULLS LAST) AS place, blocks
+  FROM (SELECT source, target, blocks, unnest(range(1, blocks + 1)) AS k FROM t, b WHERE target > 0)) WHERE place <= blocks GROUP BY source),
+r AS (SELECT d.*, source_size, target, coalesce(quota, 0) AS source_quota, md5(concat_ws(chr(31), 'lorevine', doc_id)) AS order_key, ('0x' || left(md5(concat_ws(chr(31), 'lorevine', doc_id)), 8))::BIGINT % shards AS shard
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+h AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size, max(source_quota) AS source_quota FROM r GROUP BY source, shard),
+g AS (SELECT source, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * k - 1) DESC, shard) AS place
+  FROM (SELECT *, unnest(range(1, source_quota + 1)) AS k FROM h WHERE shard_size > 0)) WHERE place <= source_quota GROUP BY source, shard),
+p AS (SELECT r.*, greatest(1, ceil(shard_size / {BLOCK_WORDS})) AS n, coalesce(g.quota, 0) AS quota, sum(size) OVER (PARTITION BY r.source, r.shard ORDER BY order_key, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source AND r.shard = h.shard LEFT JOIN g ON r.source IS NOT DISTINCT FROM g.source AND r.shard = g.shard),
+z AS (SELECT *, least(floor(quota / n), {int(MOST)}) AS passes FROM p)
+SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, CASE WHEN passes >= {int(MOST)} THEN 0 ELSE (quota - passes * n) * {BLOCK_WORDS} END - start)) AS BIGINT) AS taken FROM z
+"""
