@@ -23,7 +23,8 @@ Null or empty text, or text without words, has no shingles, is linked with nothi
 its own component. Fewer words than a shingle has make one shingle. Inside, rows are known by
 a hash of id and text (``row_key``), so texts that share a doc_id are compared each for itself and only
 rows with the same id and text are one. A null doc_id has no component and is linked with
-nothing, unless ``grouped`` is asked to link it. An empty table gives an empty result;
+nothing, unless ``grouped`` is asked to link it. Ids are read as long: text that is no number
+counts as null. An empty table gives an empty result;
 further columns are ignored. Shingles, and rows, are told apart by 64-bit hashes.
 """
 
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import floor
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,10 @@ SMALL, BLOCK_ROWS = 8, 4096
 BITS, TABLE_BITS = 2048, 1 << 24
 #: Words whose hashes a task keeps, and set hashes by which it knows copies.
 WORDS_KEPT, SETS_KEPT = 200_000, 100_000
+#: Parts into which the rows of a bucket are dealt where they meet what holds for the whole bucket.
+SALTS = 16
+#: Hashes of shingles that a task of the verification keeps.
+HASHES_KEPT = 1 << 21
 #: Keys of large buckets that a task remembers; forgetting them only sends more rows to the key's task.
 LARGE_KEPT = 100_000
 
@@ -141,17 +147,31 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(len(a)) and 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+SETS = "id long, doc_id long, n long, f1 long, f2 long, sketch binary, keys array<long>"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
+    """Size, digests, bit sketch and published keys of each row's set; copies that a task knows publish nothing."""
+    hashes, seen = _WordHashes(), set()
     for batch in batches:
-        rows = []
-        for text in batch.column("text"):
+        rows, keys = [], []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             h = shingles(text.as_py(), hashes)
             first = int(np.bitwise_xor.reduce(mixed(h))) if len(h) else 0
             second = int(np.add.reduce(mixed(h ^ _M2))) if len(h) else 0
-            rows.append((len(h), first, second, bit_sketch(h)))
+            known = (len(h), first, second)
+            rows.append((*known, bit_sketch(h)))
+            if doc_id is None or not len(h) or known in seen:  # a copy: the class is known by its first row
+                keys.append(np.empty(0, np.uint64))
+                continue
+            if len(seen) >= SETS_KEPT:
+                seen.clear()
+            seen.add(known)
+            keys.append(published(h))
         columns = [np.array([r[i] for r in rows], np.uint64).view(np.int64) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), *map(pa.array, columns), pa.array([r[3] for r in rows], pa.binary())], ["id", "doc_id", "n", "f1", "f2", "sketch"])
+        ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), *map(pa.array, columns), pa.array([r[3] for r in rows], pa.binary()), lists], [c.split()[0] for c in SETS.split(", ")])
 
 
 class _Rows:
@@ -183,28 +203,15 @@ class _Rows:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids), pa.array(spread)], ["key", "doc_id", "spread"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, seen, rows = _WordHashes(), set(), _Rows()
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, keys) -> rows (key, doc_id, spread)."""
+    rows = _Rows()
     for batch in batches:
-        keys, ids, held = [], [], 0
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            h = shingles(text.as_py(), hashes)
-            if doc_id is None or not len(h):
-                continue
-            known = (len(h), int(np.bitwise_xor.reduce(h)), int(np.add.reduce(h)))
-            if known in seen:  # a copy: the class is known by its first row
-                continue
-            if len(seen) >= SETS_KEPT:
-                seen.clear()
-            seen.add(known)
-            keys.append(published(h))
-            ids.append(np.full(len(keys[-1]), doc_id, np.int64))
-            held += len(keys[-1])
-            if held > 1 << 20:
-                yield rows.batch(np.concatenate(keys), np.concatenate(ids))
-                keys, ids, held = [], [], 0
-        if keys:
-            yield rows.batch(np.concatenate(keys), np.concatenate(ids))
+        lists = batch.column("keys")
+        lengths = np.diff(lists.offsets.to_numpy())
+        ids, keys = np.repeat(batch.column("doc_id").fill_null(0).to_numpy(), lengths), lists.flatten().to_numpy().view(np.uint64)
+        if len(keys):
+            yield rows.batch(keys, ids)
 
 
 def _two(x: np.ndarray, y: np.ndarray, a: str, b: str) -> pa.RecordBatch:
@@ -290,15 +297,21 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
-    last, held = None, np.empty(0, np.uint64)
+    hashes, sets, held = _WordHashes(), {}, 0
+
+    def of(row: int, text: pa.StringScalar) -> np.ndarray:
+        nonlocal held
+        if row not in sets:
+            if held > HASHES_KEPT:
+                sets.clear()
+                held = 0
+            sets[row] = shingles(text.as_py(), hashes)
+            held += len(sets[row]) + 16
+        return sets[row]
+
     for batch in batches:
-        keep = []
-        for a, text, other in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
-            text = text.as_py()
-            if (a, text) != last:
-                last, held = (a, text), shingles(text, hashes)
-            keep.append(linked(held, shingles(other.as_py(), hashes)))
+        ids = (batch.column(c).to_pylist() for c in ("a", "b"))
+        keep = [linked(of(a, one), of(b, two)) for a, b, one, two in zip(*ids, batch.column("text_a"), batch.column("text_b"), strict=True)]
         kept = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
@@ -325,7 +338,8 @@ def _links(pairs: DataFrame, texts: DataFrame, sets: DataFrame, checked: bool =
 
     # Rows that repeat with id and text have one key.
     some = texts.select("doc_id", "text").mapInArrow(candidates, "doc_id long, text string").dropDuplicates(["doc_id"])
-    both = pairs.join(some.toDF("b", "text_b"), "b").join(some.toDF("a", "text_a"), "a")
+    # a may be one document for a whole bucket: it is met while rows are just two ids.
+    both = pairs.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b").select("a", "text_a", "b", "text_b")
     return common.cut(both.mapInArrow(_verified, "a long, b long").distinct())
 
 
@@ -368,7 +382,10 @@ def grouped(documents: DataFrame, null_ids: bool = False) -> DataFrame:
     common.workers_can_import(spark)
     linkable = F.lit(True) if null_ids else F.col("doc_id").cast("long").isNotNull()
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.when(linkable, row_key()).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sets = common.cut(texts.mapInArrow(_sets, "id long, doc_id long, n long, f1 long, f2 long, sketch binary"))
+    # One pass over the texts; the table with the keys goes as soon as the keys have met.
+    folder = f"{common.shared_folder(spark)}/sets-{uuid4().hex}"
+    made = common.stored(texts.mapInArrow(_sets, SETS), folder)
+    sets = common.cut(made.drop("keys"))
     filled = sets.filter("n > 0 and doc_id is not null")
     # Rows in the order of their ids: early documents are apt to be those that others were made from.
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("doc_id").alias("node"))
@@ -377,13 +394,14 @@ def grouped(documents: DataFrame, null_ids: bool = False) -> DataFrame:
     nodes = common.cut(node_of.filter("doc_id = node").select("node").distinct().join(filled.select(F.col("doc_id").alias("node"), "n", "sketch"), "node").dropDuplicates(["node"]))
 
     n = common.parts(spark)
-    keys = texts.select("doc_id", "text").mapInArrow(_keys, "key long, doc_id long, spread boolean")
+    keys = made.filter("size(keys) > 0").select("doc_id", "keys").mapInArrow(_dealt, "key long, doc_id long, spread boolean")
     spread = F.when(F.col("spread"), F.xxhash64("doc_id")).otherwise(F.lit(0).cast("long"))
     # No number of partitions: small ones merge, so that the checkpoint writes few files.
     met = common.cut(keys.repartition("key", spread).mapInArrow(_met, "key long, a long, b long"))
+    common.remove(spark, folder)
     by_id = node_of.select("doc_id", "node")
     large = common.cut(met.filter("key is not null").select("key", "a").join(node_of.select(F.col("doc_id").alias("a"), "node", "place"), "a").select("key", "node", "place").distinct())
-    star = large.join(large.groupBy("key").agg(F.min("place")["node"].alias("first")), "key").select(F.col("first").alias("na"), F.col("node").alias("nb"))
+    star = _of_bucket(large, large.groupBy("key").agg(F.min("place")["node"].alias("first"))).select(F.col("first").alias("na"), F.col("node").alias("nb"))
     pairs = met.filter("key is null").select("a", "b").distinct()
     pairs = pairs.join(by_id.toDF("a", "na"), "a").join(by_id.toDF("b", "nb"), "b").select("na", "nb").unionByName(star)
     pairs = pairs.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).filter("a <> b").distinct()
@@ -392,7 +410,7 @@ def grouped(documents: DataFrame, null_ids: bool = False) -> DataFrame:
 
     hot = large.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed_keys = hot.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
-    open_rows = common.cut(hot.join(mixed_keys.select("key", "rows"), "key"))
+    open_rows = common.cut(_of_bucket(hot, mixed_keys.select("key", "rows")).select("key", "node", "root", "rows"))
     if not open_rows.isEmpty():
         more = _links(_open_pairs(open_rows, nodes, n), texts, nodes, checked=True)
         if not more.isEmpty():
@@ -402,6 +420,12 @@ def grouped(documents: DataFrame, null_ids: bool = False) -> DataFrame:
     return of_rows.unionByName(sets.filter("doc_id is null").select("id", "doc_id", "n", alone.alias("node"), alone.alias("root")))
 
 
+def _of_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` (key, node, ...) with what ``buckets`` (key, ...) says, each bucket's rows dealt over ``SALTS`` places."""
+    salted = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id of the component) of every row."""
     rows = common.cut(grouped(documents))
@@ -431,3 +455,15 @@ def _open_pairs(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingles are at least 0.8 alike."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+#: The same rows in DuckDB SQL: all shingles met, then all documents reachable. It needs unique ids.
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i : i + {WORDS - 1}], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS n, count(*) AS shared FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= {PERCENT} * (n - shared)),
+r AS (SELECT doc_id, doc_id AS reached FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) USING (doc_id)
+"""
