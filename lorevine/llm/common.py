@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -34,11 +35,16 @@ def workers_can_import(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application that all executors share: in ``spark.checkpoint.dir``;
-    only where that is unset (tests on one machine) in a temporary folder."""
+    """A folder of this application that all executors share: in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder is made if driver and executors are one process (a local
+    master, as in tests); on a cluster it is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lorevine-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -71,6 +77,14 @@ def document_text(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until it is no column of ``df`` (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def n_words(text: Column) -> Column:
     """The number of maximal runs of characters other than x20 and x09 to x0D."""
     pieces = F.size(F.split(text, BLANKS))

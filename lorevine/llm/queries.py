@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from lorevine.llm.chat_format import op4_chat_format
+from lorevine.llm.chat_format import OP4_SQL, op4_chat_format
 from lorevine.llm.decontaminate import OP3_SQL, op3_decontamination
 from lorevine.llm.language_id import op5_language_id
-from lorevine.llm.mix_sources import op6_mix_sources
-from lorevine.llm.parity_join import op2_jaccard_join
+from lorevine.llm.mix_sources import OP6_SQL, op6_mix_sources
+from lorevine.llm.parity_join import OP2_SQL, op2_jaccard_join
 from lorevine.llm.secrets_scan import op10_secret_scan
 from lorevine.llm.shard_slots import op9_virtual_slots
-from lorevine.llm.spot_signatures import op7_spot_signatures
+from lorevine.llm.spot_signatures import OP7_SQL, op7_spot_signatures
 from lorevine.llm.token_counts import op1_token_counts
 from lorevine.llm.toxicity import op8_toxicity
 
@@ -26,4 +26,10 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL = {"op3_decontamination": OP3_SQL}
+ORACLE_SQL = {
+    "op2_jaccard_join": OP2_SQL,
+    "op3_decontamination": OP3_SQL,
+    "op4_chat_format": OP4_SQL,
+    "op6_mix_sources": OP6_SQL,
+    "op7_spot_signatures": OP7_SQL,
+}
