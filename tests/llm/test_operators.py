@@ -2,6 +2,7 @@
 tables and clashing columns, against brute force where there is one."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -16,7 +17,8 @@ from lorevine.llm import chat_format, common, decontaminate, graph, language_id,
 WORDS = "the and of alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside, under the names that clash.
-CLASH = ["score", "size", "n", "key", "node", "root", "shard", "slot", "target", "weight", "items", "hits", "sigs"]
+CLASH = ["score", "size", "n", "key", "node", "root", "shard", "slot", "target", "weight", "items", "hits", "sigs", "copies", "home", "until", "first", "digest", "features", "keys", "toxic",
+         "_toxicity", "__toxicity", "_size", "_again", "_key", "_row", "_m", "_v", "_g", "_w", "_s", "_next", "_range", "d", "m"]
 
 
 def sha(text):
@@ -284,7 +286,31 @@ def test_forward_backward_is_exact():
         total += p
         for k, y in enumerate(path):
             want[k, y] += p
-    assert np.allclose(language_id.forward_backward(e, np.array([5]), t)[0][:, 0], want / total)
+    pairs, wanted = np.zeros((3, 3)), np.zeros((3, 3))
+    for path in np.ndindex(*[3] * 5):
+        p = np.prod([e[k, 0, y] for k, y in enumerate(path)]) * np.prod([t[a, b] for a, b in zip(path, path[1:])])
+        for a, b in zip(path, path[1:]):
+            wanted[a, b] += p / total
+    assert np.allclose(language_id.forward_backward(e, np.array([5]), t, pairs)[:, 0], want / total) and np.allclose(pairs, wanted)
+
+
+def test_whole_texts_and_all_languages_are_learned(spark, monkeypatch):
+    rng = random.Random(11)
+    own = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for k in range(70)}
+    rows = [(k * 20 + i, " ".join(rng.choice(w) for _ in range(12)), lang) for k, (lang, w) in enumerate(own.items()) for i in range(6)]
+    late = "zwqxk"
+    rows += [(5000 + i, " ".join([*["filler"] * 3000, *[late] * 50]), "late") for i in range(6)] + [(6000 + i, " ".join(["filler"] * 30), "other") for i in range(6)]
+    rows += [(9, "one text here", "l1"), (9, "other text here", "l1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.training_rows(df)
+    assert sample == language_id.training_rows(df.repartition(5)) and {t for t, _ in sample} <= {t for _, t, _ in rows}
+    model = language_id.train(sample)
+    assert set(model.labels) == {*own, "late", "other"}
+    assert language_id.label_words(model, [late] * 3) == ["late"] * 3
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 10)
+    assert {lang for _, lang in language_id.training_rows(df)} == {*own, "late", "other"}
+    long = spark.createDataFrame([(1, " ".join(rng.choice(own["l3"]) for _ in range(60_000)))], "doc_id long, text string")
+    assert language_id.identify(long, model).first().lang_pred == "l3"
 
 
 # 6
@@ -328,22 +354,33 @@ def test_sainte_lague(spark):
 # 7
 
 
+def brute_signatures(text):
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    common_words = set(spot_signatures.ANCHORS)
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()[:16]
+    chains = [digest(w + " " + " ".join([x for x in words[k + 1 : k + 11] if x not in common_words][:2])) for k, w in enumerate(words) if w in common_words]
+    return set(chains or map(digest, words) or ()) or {digest(text)}
+
+
 def test_fingerprints(docs, rows):
-    out = spot_signatures.edited_fingerprints(docs).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    following = {(i, t or ""): order[(k + 1) % len(order)][1] or "" for k, (i, t, *_) in enumerate(order)}
-    following[(rows[3][0], rows[3][1])] = None  # the repeated row: either itself or the next
-    by_text = defaultdict(set)
-    assert len(out) == len(rows)
-    known = {i: t or "" for i, t, *_ in rows}
-    for r in out:
-        t, n = known[r.doc_id], following[(r.doc_id, known[r.doc_id])]
-        half = len(t) // 2
-        by_text[t].add(r.fingerprint)
-        assert r.n_chars == len(t) and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        if n is not None:
-            assert r.edited_sha256 == sha(t[: len(t) - half] + n[:half])
-    assert all(len(x) == 1 for x in by_text.values())
+    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        following, half = order[(k + 1) % len(order)][1], len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        a, b, c = map(brute_signatures, (t, edited, following))
+        like = lambda x, y: len(x & y) / len(x | y) if min(len(x), len(y)) >= 0.2 * max(len(x), len(y)) else 0.0
+        want.append((i, len(t), sha(edited), "".join(sorted(a)), "".join(sorted(b)), like(a, b), like(a, c)))
+    out = got(spot_signatures.edited_fingerprints(docs), "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert out == sorted(want, key=repr)
+
+
+def test_length_ranges_prune_nothing_alike(spark):
+    lengths = [*range(1, 140), 155, 156, 200, 624, 625, 626, 3124, 3125]
+    df = spark.createDataFrame([(a, b) for a in lengths for b in lengths], "a int, b int")
+    for threshold in (0.2, 0.5, 0.8):
+        wrong = df.withColumn("ok", spot_signatures.comparable(F.col("a"), F.col("b"), threshold)).filter(F.col("ok") != (F.least("a", "b") >= F.greatest("a", "b") * threshold))
+        assert wrong.count() == 0
 
 
 def test_alike_fingerprints(docs):
@@ -360,13 +397,39 @@ def test_alike_fingerprints(docs):
 def test_toxicity(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(WORDS) for _ in range(30)) + (" vile" if i % 5 == 0 else ""), i % 5 == 0) for i in range(300)]
-    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (None, "vile"), (902, " ".join(WORDS) * 900 + " vile ")], "doc_id long, text string").withColumn("score", F.lit("x"))
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (None, "vile"), (902, " ".join(WORDS * 900) + " vile ")], "doc_id long, text string").withColumn("score", F.lit("x"))
     labels = spark.createDataFrame([(i, 1, int(y)) for i, _, y in rows] + [(900, 1, None), (7, 1, 1), (7, 1, 1), (None, 1, 1), (5000, 0, 1)], "doc_id long, quality int, toxic int")
     out = {r.doc_id: r.score for r in toxicity.score(df, toxicity.fit(df, labels)).collect()}
     held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(out[i] >= 0.5) == y for i, y in held]) > 0.95 and all(0 <= s <= 1 for s in out.values())
-    assert out[901] < 0.5 <= out[902]
-    assert toxicity.train(["a"], [1])[1] > 0 and toxicity.train([], [])[1] < 0
+    assert out[901] < 0.5 <= out[902] and out[900] == out[901]
+    one = [np.array([1], np.int32)]
+    assert toxicity.train(one, [1]).intercept > 0 and toxicity.train([], []).intercept < 0
+
+
+def test_toxicity_has_one_rule_for_all_lengths(spark):
+    rng, seen = random.Random(8), np.zeros(1 << toxicity.BITS, bool)
+    said = lambda n, *more: " ".join(rng.sample([rng.choice(WORDS) for _ in range(n)] + list(more), n + len(more)))
+    # In training texts too, what is toxic may stand anywhere.
+    texts = [said(20 + 40 * k, *(["vile", "nasty"] if k % 2 else [])) for k in range(120)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(4, "vile nasty again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    again = toxicity.fit(df.repartition(7), labels.repartition(3))
+    assert np.array_equal(model.weights, again.weights) and model.intercept == again.intercept
+    margin = lambda t: model.margin(toxicity.features(t, seen))
+    whole = said(3000)
+    for n in (500, 1000, 5999, 6000, 6001, 12000):
+        steps = [margin(whole[:k]) for k in range(n, n + 12)]
+        assert max(abs(a - b) for a, b in zip(steps, steps[1:])) < 0.5 and max(steps) < 0
+    assert all(margin(said(n, "vile", "nasty")) > 0 for n in (5, 50, 500, 5000))
+
+
+def test_feature_sets_are_packed(spark):
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 500, 16383, 16384, 200_000, 1 << toxicity.BITS):
+        found = np.sort(rng.permutation(1 << toxicity.BITS)[:n])
+        assert len(toxicity.packed(found)) <= 1 << toxicity.BITS - 3 and np.array_equal(toxicity.unpacked(toxicity.packed(found)), found)
 
 
 # 9
@@ -384,10 +447,61 @@ def test_shards(docs, rows):
     assert max(load.values()) - min(load[k] for k in range(8)) <= max(size.values())
 
 
+def brute_shards(rows, n_shards, n_slots):
+    """Placement of rows of which no home is hot: slots by hash, the map edited once, places in order."""
+    import xxhash
+
+    signed = lambda x: int(x) - (1 << 64) * (x >> 63)
+    homes, weight = [], Counter()
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        home = signed(xxhash.xxh64_intdigest((str(i) if i is not None else "null").encode(), 42)) % n_slots
+        homes.append((home, (i is not None, i or 0), zlib.crc32(raw), len(raw) + 16, i))
+        weight[home] += len(raw) + 16
+    map_ = shard_slots.rebalanced(shard_slots.first_map(n_slots, n_shards), weight, n_shards)
+    used, out = Counter(), []
+    for home, _, crc, size, i in sorted(homes, key=lambda h: h[:4]):
+        out.append((i, size, crc, home, map_[home], used[map_[home]]))
+        used[map_[home]] += 1
+    return sorted(out, key=repr)
+
+
+def test_placement_equals_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, "x" * rng.randrange(300)) for i in range(400)] + [(5, "again"), (5, "again"), (None, "no id"), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ("doc_id", "size", "text_crc32", "virtual_slot", "shard", "slot")
+    assert got(shard_slots.shard(df.repartition(3), 4, 64), *names) == brute_shards(rows, 4, 64)
+
+
 def test_hot_ids_are_split(spark):
     df = spark.range(2000, numPartitions=4).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("x" * 50).alias("text"))
-    load = [r["sum(size)"] for r in shard_slots.shard(df, 5).groupBy("shard").sum("size").collect()]
-    assert len(load) == 5 and max(load) < 1.2 * min(load)
+    out = shard_slots.shard(df, 5).cache()
+    load = [r["sum(size)"] for r in out.groupBy("shard").sum("size").collect()]
+    assert len(load) == 5 and max(load) < 1.2 * min(load) and out.count() == 2000
+    # Another layout of the files deals the same rows alike.
+    names = ("doc_id", "virtual_slot", "shard", "slot")
+    assert got(out, *names) == got(shard_slots.shard(df.repartition(7, "text").orderBy(F.desc("doc_id")), 5), *names)
+
+
+def test_copies_are_numbered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(shard_slots, "COPIES_AT_ONCE", 3)
+    df = spark.createDataFrame([(1, "a")] * 11 + [(2, "b")], "doc_id long, text string")
+    by = defaultdict(list)
+    for r in shard_slots.shard(df, 2, 16).collect():
+        by[r.shard].append(r.slot)
+    assert sum(map(len, by.values())) == 12 and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_latest_stored_map_is_edited(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    one = shard_slots.shard(docs, 4, 64, path)
+    assert shard_slots.versions(spark, path) == [0, 1] and shard_slots.load_map(spark, path, 0) == shard_slots.first_map(64, 4)
+    before = got(one, "doc_id", "virtual_slot", "shard")
+    grown = got(shard_slots.shard(docs, 5, 64, path), "doc_id", "virtual_slot", "shard")
+    assert shard_slots.versions(spark, path) == [0, 1, 2]
+    moved = sum(a[2] != b[2] for a, b in zip(before, grown, strict=True))
+    assert 0 < moved < len(before)
 
 
 def test_slot_map_versions(spark, tmp_path):
@@ -438,6 +552,62 @@ def test_random_runs_of_each_encoding(spark):
     assert {name: n for name, n in found.items() if n < 0.8 * 40} == {}
 
 
+def brute_random(text):
+    """The battery by loops: (start, end) of the runs it keeps."""
+    tail = lambda z: (t := 1 / (1 + 0.2316419 * abs(z)), p := math.exp(-z * z / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))), p if z >= 0 else 1 - p)[2]
+    bits, runs = secrets_scan.sign_bits(), []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+        if len(m[0]) < 20:
+            continue
+        name = next(k for k, (_, pattern) in secrets_scan.ENCODINGS.items() if re.search(pattern, m[0]))
+        alphabet = secrets_scan.ENCODINGS[name][0]
+        plain = (m[0].lower() if name == "hex" else m[0]).translate(str.maketrans("-_", "+/"))
+        v, k, n = [alphabet.index(c) for c in plain], len(alphabet), len(plain)
+        chi = sum((c - n / k) ** 2 / (n / k) for c in Counter(v).values()) + (k - len(set(v))) * n / k
+        up = [x >= k / 2 for x in v]
+        above = sum(up)
+        pq, crossings = 2 * above * (n - above), 1 + sum(a != b for a, b in zip(up, up[1:]))
+        spread = pq * (pq - n) / (n * n * (n - 1))
+        mean = sum(v) / n
+        variance, covariance = sum((x - mean) ** 2 for x in v), sum((a - mean) * (b - mean) for a, b in zip(v, v[1:]))
+        tests = [tail((chi - (k - 1)) / math.sqrt(2 * (k - 1))), 2 * tail(abs(crossings - pq / n - 1) / math.sqrt(spread)) if spread > 0 else 0, 2 * tail(abs(covariance / variance) * math.sqrt(n)) if variance > 0 else 0]
+        signs = [secrets_scan._SIGNS.index("0" if c.isdigit() else "+" if c in "+/-_" else c) for c in m[0]]
+        taken = sum(bits[a * len(secrets_scan._SIGNS) + b] for a, b in zip(signs, signs[1:]))
+        if name == "decimal":
+            z = (10 * secrets_scan.SAME_TWO - 1 - chi / n) / (20 * math.sqrt(secrets_scan.SAME_THREE - secrets_scan.SAME_TWO**2)) * math.sqrt(n)
+        else:
+            z = (taken / (n - 1) - secrets_scan.TEXT_MEAN) / math.sqrt(secrets_scan.TEXT_BETWEEN + secrets_scan.TEXT_WITHIN / (n - 1))
+        runs.append((m.start(), m.end(), min(tests), tail(z), n))
+    if not runs:
+        return []
+    mean = sum(r[4] for r in runs) / len(runs)
+    weighted = [r[3] * mean / r[4] for r in runs]
+    below = [p for i, p in enumerate(sorted(weighted), 1) if p <= 0.05 * i / len(runs)]
+    return [r[:2] for r, p in zip(runs, weighted) if below and p <= below[-1] and r[2] >= 0.01]
+
+
+def test_battery_equals_brute_force(spark):
+    rng, kinds = random.Random(21), [a for a, _ in secrets_scan.ENCODINGS.values()]
+    plain = "shortEmptyElementsOfPages test_jaccard_join_in_large_buckets multiprocessing/synchronize 11111111111111111111 aaaaaaaaaaaaaaaaaaaaaaaa word".split()
+    made = []
+    for k in range(150):
+        parts = [rng.choice(plain) if rng.random() < 0.4 else "".join(rng.choice(a) for _ in range(rng.randrange(18, 70))) for a in rng.choices(kinds, k=rng.randrange(7))]
+        made.append((k, (" é\U0001f600 ", "\n", ", ")[k % 3].join(parts)))
+    out = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == 3] for r in secrets_scan.scan_secrets(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert sum(map(len, out.values())) > 100
+    for k, t in made:
+        assert out[k] == brute_random(t), k
+
+
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(4)
+    runs = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJ") for _ in range(24)) for _ in range(4000)]
+    text = "é ".join(runs)
+    df = spark.createDataFrame([(1, text), (2, "token=abcdefgh1 " * 5000)], "doc_id long, text string")
+    one, two = sorted(secrets_scan.scan_secrets(df).collect())
+    assert len(one.found) > 3600 and all(text[s.start : s.end] in runs for s in one.found if s.kind == 3) and len([s for s in two.found if s.kind == 0]) == 5000
+
+
 # pipeline
 
 
@@ -459,6 +629,35 @@ def test_stages(spark, docs, rows, tmp_path):
     assert now.count() > 0
 
 
+def test_stages_of_empty_tables(spark, nothing, docs, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in stages.STAGES:
+        out = stage(spark, nothing.withColumn("_size", F.lit("x")), str(tmp_path))
+        assert out.count() == 0, name
+        assert name == "sharding" or out.columns == [*nothing.columns, "_size"]
+    # Without labels and items nothing is rejected.
+    assert got(stages.drop_toxic(spark, docs, str(tmp_path)), *docs.columns) == got(docs, *docs.columns) == got(stages.drop_leaks(spark, docs, str(tmp_path)), *docs.columns)
+    nothing.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_shared_folder_is_never_of_one_machine(spark, monkeypatch):
+    class Context:
+        master, setCheckpointDir = "local-cluster[3,2,1024]", None
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), type("Conf", (), {"get": lambda self, key, default: default})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session())
+
+
 def test_one_row_of_each_group_of_texts(spark):
     def text(seed, n=60):
         rng = random.Random(seed)
