@@ -74,7 +74,7 @@ def expanded(hits: DataFrame, edges: DataFrame, records: DataFrame, k: int) -> D
     reached = reached.join(records.filter(F.col("type") == "regulatory").select("article", "record_id"), "article")
     new = reached.join(hits.select("item_id", "record_id"), ["item_id", "record_id"], "left_anti")
     first = F.row_number().over(Window.partitionBy("item_id", "record_id").orderBy("parent", "edge_no"))
-    new = new.withColumn("_n", first).filter("_n = 1").select("item_id", "record_id", F.round(F.col("score") * NEIGHBOUR_SHARE, 6).alias("score"), F.lit("graph").alias("source"), (F.col("parent") + 1000).alias("rank"))
+    new = new.withColumn("_n", first).filter("_n = 1").select("item_id", "record_id", F.round(F.col("score") * NEIGHBOUR_SHARE, 7).alias("score"), F.lit("graph").alias("source"), (F.col("parent") + 1000).alias("rank"))
     every = hits.select("item_id", "record_id", "score", "source", "rank").unionByName(new)
     order = Window.partitionBy("item_id").orderBy(F.col("score").desc(), "rank", "record_id")
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

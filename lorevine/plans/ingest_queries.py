@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorevine.functions import text as T
-from lorevine.functions.references import extract_references
+from lorevine.functions.references import extract_references, references_duckdb
 from lorevine.operators import assembly, integrity
-from lorevine.plans.tables import CITING_SQL, EDGES_SQL, LINES_SQL, RECORDS_SQL, edges, inline, load, records
+from lorevine.plans.tables import CITING_SQL, EDGES_SQL, LINES_SQL, RECORDS_SQL, ROMAN_SQL, SENTENCES_SQL, derived, edges, load, records
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -25,21 +25,21 @@ def query(name: str, sql: str | None = None):
 KIND = r"""CASE WHEN regexp_matches(trim(text), '^\d+$') AND trim(text) = page::VARCHAR AND (x < 60 OR y < 60) THEN 'noise' WHEN starts_with(font, 'Symbol') OR text IN ('•', '-', '–', '*') THEN 'bullet' WHEN size <= 9.1 THEN 'noise'
  WHEN size >= 10.4 THEN 'section' WHEN size BETWEEN 9.8 AND 10.3 AND bold AND regexp_matches(text, '^Art(?:\.\s*|icle\s+)\d') THEN 'article' WHEN size BETWEEN 9.8 AND 10.3 AND bold AND regexp_matches(text, '(?i)^(Livre|Titre|Chapitre|Section|Sous-section)\b') THEN 'section'
  WHEN size BETWEEN 9.8 AND 10.3 THEN 'regulatory' WHEN size BETWEEN 9.3 AND 9.7 THEN CASE WHEN bold THEN 'comment_title' ELSE 'comment' END ELSE 'unknown' END"""
-_LINES = f"WITH l AS ({LINES_SQL}), k AS (SELECT *, {KIND} AS kind FROM l)"
+_LINES = f"WITH sentences AS ({SENTENCES_SQL}), l AS ({LINES_SQL}), k AS (SELECT *, {KIND} AS kind FROM l)"
 
 
-def lines(spark):
-    return inline(spark, LINES_SQL).withColumn("size", F.col("size").cast("double")).withColumn("kind", assembly.kind())
+def lines(spark, sf):
+    return derived(spark, sf, LINES_SQL).withColumn("size", F.col("size").cast("double")).withColumn("kind", assembly.kind())
 
 
 @query("classify_lines", f"{_LINES} SELECT doc_id, seq, kind FROM k")
 def classify_lines(spark, sf):
-    return lines(spark).select("doc_id", "seq", "kind")
+    return lines(spark, sf).select("doc_id", "seq", "kind")
 
 
 @query("line_lag", f"{_LINES} SELECT doc_id, seq, coalesce(lag(kind) OVER w = 'section' AND lag(page) OVER w = page AND NOT regexp_matches(lag(text) OVER w, '\\.{{4,}}'), false) AS after_section FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY seq)")
 def line_lag(spark, sf):
-    return lines(spark).select("doc_id", "seq", assembly.after_section().alias("after_section"))
+    return lines(spark, sf).select("doc_id", "seq", assembly.after_section().alias("after_section"))
 
 
 _FILL = ", ".join(
@@ -50,36 +50,34 @@ _LEVEL = " ".join(f"WHEN starts_with(lower(text), '{x}') THEN '{x}'" for x in T.
 
 @query("path_fill", f"{_LINES}, h AS (SELECT doc_id, seq, text, CASE {_LEVEL} END AS level FROM k WHERE kind = 'section'), d AS (SELECT *, list_position({list(T.LEVELS)!r}, level) AS depth FROM h), f AS (SELECT doc_id, seq, level, {_FILL} FROM d) SELECT doc_id, seq, level, concat_ws(' > ', l1, l2, l3, l4, l5) AS path FROM f")
 def path_fill(spark, sf):
-    return assembly.filled_path(lines(spark).filter("kind = 'section'").select("doc_id", "seq", "text"))
+    return assembly.filled_path(lines(spark, sf).filter("kind = 'section'").select("doc_id", "seq", "text"))
 
 
-@query("id_suffix", f"WITH r AS (SELECT record_id, row_number() OVER (ORDER BY record_id, text) AS seq FROM ({RECORDS_SQL})) SELECT record_id, CASE WHEN n > 1 THEN record_id || '#' || n ELSE record_id END AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY seq) AS n FROM r)")
+@query("id_suffix", f"WITH r AS (SELECT record_id, row_number() OVER (ORDER BY doc_id) AS seq FROM ({RECORDS_SQL})) SELECT record_id, CASE WHEN n > 1 THEN record_id || '#' || n ELSE record_id END AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY seq) AS n FROM r)")
 def id_suffix(spark, sf):
-    return assembly.with_suffix(records(spark).withColumn("seq", F.col("text"))).select("record_id", "unique_id")
+    return assembly.with_suffix(records(spark, sf).withColumn("seq", F.col("doc_id"))).select("record_id", "unique_id")
 
 
 @query("assemble_records")
 def assemble_records(spark, sf):
-    """A fold over ordered lines; tests hold its goldens."""
-    return assembly.records(lines(spark))
+    """Records from the islands of ordered lines."""
+    return assembly.records(lines(spark, sf))
 
 
 @query("assembly_anomalies")
 def assembly_anomalies(spark, sf):
-    return assembly.anomalies(lines(spark))
+    return assembly.anomalies(lines(spark, sf))
 
 
-@query("extract_refs")
+@query("extract_refs", f"SELECT doc_id, edge.target AS target, edge.family AS family FROM (SELECT doc_id, unnest({references_duckdb('c.text')}) AS edge FROM ({CITING_SQL}) c)")
 def extract_refs(spark, sf):
-    """References of every document and record; lookahead keeps them out of RE2."""
-    every = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text").unionByName(records(spark).select(F.col("record_id").alias("id"), "text"))
-    every = every.unionByName(inline(spark, CITING_SQL))
-    return every.select("id", F.explode(extract_references("text")).alias("edge")).select("id", "edge.target", "edge.family")
+    """References of every document."""
+    return derived(spark, sf, CITING_SQL).select("doc_id", F.explode(extract_references("text")).alias("edge")).select("doc_id", "edge.target", "edge.family")
 
 
 @query("duplicate_ids", f"SELECT record_id, count(*) AS n FROM ({RECORDS_SQL}) GROUP BY record_id HAVING count(*) > 1")
 def duplicate_ids(spark, sf):
-    return integrity.duplicate_ids(records(spark))
+    return integrity.duplicate_ids(records(spark, sf))
 
 
 _DANGLING = f"dg AS (SELECT source_id, target FROM ({EDGES_SQL}) WHERE family = 'internal' AND target NOT IN (SELECT 'pcg-' || article FROM ({RECORDS_SQL}) WHERE article IS NOT NULL))"
@@ -87,16 +85,16 @@ _DANGLING = f"dg AS (SELECT source_id, target FROM ({EDGES_SQL}) WHERE family =
 
 @query("dangling_edges", f"WITH {_DANGLING} SELECT * FROM dg")
 def dangling_edges(spark, sf):
-    return integrity.dangling(records(spark), edges(spark))
+    return integrity.dangling(records(spark, sf), edges(spark, sf))
 
 
-_NUMBER = "CASE upper(regexp_extract(path, '(?i)Titre ([IVXLC0-9]+)', 1)) WHEN 'I' THEN 1 WHEN 'II' THEN 2 WHEN 'III' THEN 3 WHEN 'IV' THEN 4 WHEN 'V' THEN 5 ELSE TRY_CAST(regexp_extract(path, '(?i)Titre ([IVXLC0-9]+)', 1) AS INTEGER) END"
+_NUMBER = "CASE upper(regexp_extract(path, '(?i)Titre ([IVXLC0-9]+)', 1)) WHEN 'I' THEN 1 WHEN 'II' THEN 2 WHEN 'III' THEN 3 WHEN 'IV' THEN 4 WHEN 'V' THEN 5 WHEN 'X' THEN 10 ELSE TRY_CAST(regexp_extract(path, '(?i)Titre ([IVXLC0-9]+)', 1) AS INTEGER) END"
 _MISMATCH = f"mm AS (SELECT record_id, article, path, {_NUMBER} AS title_number FROM ({RECORDS_SQL}) WHERE regexp_extract(article, '^(\\d)\\d{{2}}-', 1) <> '' AND TRY_CAST(regexp_extract(article, '^(\\d)\\d{{2}}-', 1) AS INTEGER) <> {_NUMBER})"
 
 
 @query("title_mismatches", f"WITH {_MISMATCH} SELECT * FROM mm")
 def title_mismatches(spark, sf):
-    return integrity.title_mismatches(records(spark))
+    return integrity.title_mismatches(records(spark, sf))
 
 
 _CHECK = f"""WITH {_DANGLING}, {_MISMATCH}, ck AS (SELECT record_id, 'duplicate id' AS category FROM ({RECORDS_SQL}) GROUP BY record_id HAVING count(*) > 1 UNION ALL
@@ -105,17 +103,17 @@ SELECT record_id, 'empty text' FROM ({RECORDS_SQL}) WHERE coalesce(trim(text), '
 
 @query("integrity_check", f"{_CHECK} SELECT * FROM ck")
 def integrity_check(spark, sf):
-    return integrity.check(records(spark), edges(spark))
+    return integrity.check(records(spark, sf), edges(spark, sf))
 
 
 @query("anomaly_counts", f"{_CHECK} SELECT category, count(*) AS n FROM ck GROUP BY category")
 def anomaly_counts(spark, sf):
-    return integrity.anomaly_counts(integrity.check(records(spark), edges(spark)))
+    return integrity.anomaly_counts(integrity.check(records(spark, sf), edges(spark, sf)))
 
 
 @query("edge_counts", f"SELECT family, count(*) AS n FROM ({EDGES_SQL}) GROUP BY family")
 def edge_counts(spark, sf):
-    return edges(spark).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    return edges(spark, sf).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
 _WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
@@ -135,9 +133,9 @@ def chunk_pack(spark, sf):
     return assembly.chunks(load(spark, sf, "documents")).select("doc_id", "seq", "chunk_id", F.md5("text").alias("chunk_md5"))
 
 
-@query("roman_numbers", "SELECT r AS roman, CAST(v AS INTEGER) AS value FROM (VALUES ('I', 1), ('IV', 4), ('IX', 9), ('XIV', 14), ('XL', 40), ('XCIX', 99)) t(r, v)")
+@query("roman_numbers", f"SELECT doc_id, roman, CAST(1 + doc_id % 99 AS INTEGER) AS value FROM ({ROMAN_SQL})")
 def roman_numbers(spark, sf):
-    return inline(spark, "SELECT r AS roman FROM (VALUES ('I'), ('IV'), ('IX'), ('XIV'), ('XL'), ('XCIX')) t(r)").select("roman", T.roman(F.col("roman")).alias("value"))
+    return derived(spark, sf, ROMAN_SQL).select("doc_id", "roman", T.roman(F.col("roman")).alias("value"))
 
 
 @query("normalize_stem")

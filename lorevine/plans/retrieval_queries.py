@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorevine.functions import text as T
 from lorevine.operators import lexical, ranking
-from lorevine.plans.tables import edges, load, questions, records, route_questions
+from lorevine.plans.tables import edges, load, questions, route_questions, unique_records
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -135,18 +135,18 @@ def bm25_type_boost(spark, sf):
 
 @query(
     "chunk_max_per_record",
-    f"""WITH ch AS (SELECT doc_id AS rec, doc_id * 100000 + i AS doc_id, p AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
+    f"""WITH ch AS (SELECT {{'rec': doc_id, 'i': i}} AS doc_id, p AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
 post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format(c='text')}) AS term FROM ch) GROUP BY ALL),
-{STATS.replace('FROM documents', 'FROM ch')}, {TERMS}, {SCORES}, {RANKED}, b AS (SELECT item_id, doc_id // 100000 AS record_id, max(score) AS score FROM bmr WHERE rank <= 50 GROUP BY ALL)
+{STATS.replace('FROM documents', 'FROM ch')}, {TERMS}, {SCORES}, {RANKED}, b AS (SELECT item_id, doc_id.rec AS record_id, max(score) AS score FROM bmr WHERE rank <= 50 GROUP BY ALL)
 SELECT item_id, record_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, record_id) AS rank FROM b)""",
 )
 def chunk_max_per_record(spark, sf):
     """Chunks are cut to the pool before the best one of each record is taken."""
     lines = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
-    chunks = lines.select((F.col("doc_id") * 100000 + F.col("i")).alias("doc_id"), "text")
+    chunks = lines.select(F.struct(F.col("doc_id").alias("rec"), "i").alias("doc_id"), "text")
     post = lexical.postings(chunks).cache()
     pool = lexical.top(lexical.bm25(lexical.query_terms(questions(spark, sf)), post, chunks), 50)
-    best = pool.groupBy("item_id", F.floor(F.col("doc_id") / 100000).alias("record_id")).agg(F.max("score").alias("score"))
+    best = pool.groupBy("item_id", F.col("doc_id.rec").alias("record_id")).agg(F.max("score").alias("score"))
     return lexical.top(best, None, "item_id", "record_id")
 
 
@@ -226,47 +226,46 @@ def rewrite_compose(spark, sf):
     return questions(spark, sf).select("item_id", lexical_text.alias("lexical_text"), dense_text.alias("dense_text"))
 
 
-from lorevine.plans.tables import EDGES_SQL, RECORDS_SQL, ROUTE_SQL  # noqa: E402
+from lorevine.plans.tables import EDGES_SQL, RECORDS_SQL, ROUTE_SQL, UNIQUE_SQL  # noqa: E402
 
-_ROUTED = f"""rec AS ({RECORDS_SQL}), rq AS ({ROUTE_SQL}), ed AS ({EDGES_SQL}),
-cit AS (SELECT item_id, unnest(regexp_extract_all(text, '(?i)art(?:icles?|\\.)\\s*(\\d{{3,4}}-\\d+(?:-\\d+)?)', 1)) AS article, generate_subscripts(regexp_extract_all(text, '(?i)art(?:icles?|\\.)\\s*(\\d{{3,4}}-\\d+(?:-\\d+)?)', 1), 1) - 1 AS mention FROM rq),
+_MENTIONS = "regexp_extract_all(text, '(?i)art(?:icles?|\\.)\\s*(\\d{3,4}-\\d+(?:-\\d+)?)', 1)"
+_ROUTED = f"""rec AS ({UNIQUE_SQL}), rq AS ({ROUTE_SQL}), ed AS ({EDGES_SQL.replace(RECORDS_SQL, UNIQUE_SQL)}),
+cit AS (SELECT item_id, unnest({_MENTIONS}) AS article, generate_subscripts({_MENTIONS}, 1) - 1 AS mention FROM rq),
 ro AS (SELECT item_id, CAST(mention AS INTEGER) AS mention, article, record_id, 100.0 AS score, 'route' AS source FROM cit JOIN rec USING (article) WHERE type = 'regulatory')"""
 
 
 @query("route_refs", f"WITH {_ROUTED} SELECT item_id, mention, article, record_id, CAST(score AS DOUBLE) AS score, source FROM ro")
 def route_refs(spark, sf):
-    return ranking.routed(route_questions(spark), records(spark))
+    return ranking.routed(route_questions(spark, sf), unique_records(spark, sf))
 
 
-_LEX = """lx AS (SELECT item_id, record_id, 0.5 AS score, 'bm25' AS source, row_number() OVER (PARTITION BY item_id ORDER BY record_id) AS rank FROM rq, rec)"""
-_PINNED = f"""{_ROUTED}, {_LEX},
+_PINNED = f"""{BM}, {_ROUTED}, lx AS (SELECT item_id, record_id, score, 'bm25' AS source, rank FROM bmr JOIN rec USING (doc_id) WHERE rank <= 50),
 un AS (SELECT item_id, record_id, score, source, 0 AS section, mention AS place FROM ro UNION ALL SELECT item_id, record_id, score, source, 1, rank FROM lx WHERE (item_id, record_id) NOT IN (SELECT item_id, record_id FROM ro)),
-pi AS (SELECT item_id, record_id, CAST(score AS DOUBLE) AS score, source, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY section, place, record_id) AS rank FROM un) WHERE rank <= 5)"""
+pi AS (SELECT item_id, record_id, CAST(score AS DOUBLE) AS score, source, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY section, place, record_id) AS rank FROM un) WHERE rank <= 10)"""
 
 
-def _pins(spark):
-    from pyspark.sql.window import Window
-
-    every = route_questions(spark).crossJoin(records(spark)).select("item_id", "record_id", F.lit(0.5).alias("score"), F.lit("bm25").alias("source"))
-    lex = every.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("record_id")))
-    return ranking.pinned(ranking.routed(route_questions(spark), records(spark)), lex, 5)
+def _pins(spark, sf):
+    """Routed records before the ranked ones of the lexical channel."""
+    known = unique_records(spark, sf)
+    ranked = bm25_hits(spark, sf, 50).join(known.select("doc_id", "record_id"), "doc_id").select("item_id", "record_id", "score", F.lit("bm25").alias("source"), "rank")
+    return ranking.pinned(ranking.routed(route_questions(spark, sf), known), ranked, 10)
 
 
 @query("pin_routed", f"WITH {_PINNED} SELECT * FROM pi")
 def pin_routed(spark, sf):
-    return _pins(spark)
+    return _pins(spark, sf)
 
 
 @query(
     "graph_expand",
-    f"""WITH {_PINNED}, nb AS (SELECT p.item_id, r.record_id, round(p.score * 0.5, 6) AS score, p.rank AS parent, e.edge_no FROM pi p JOIN ed e ON e.source_id = p.record_id AND e.family = 'internal'
- JOIN rec r ON r.article = replace(e.target, 'pcg-', '') AND r.type = 'regulatory' WHERE (p.item_id, r.record_id) NOT IN (SELECT item_id, record_id FROM pi)),
+    f"""WITH {_PINNED}, nb AS (SELECT p.item_id, r.record_id, round(p.score * 0.5, 7) AS score, p.rank AS parent, e.edge_no FROM pi p JOIN ed e ON e.source_id = p.record_id AND e.family = 'internal'
+ JOIN rec r ON r.article = replace(e.target, 'pcg-', '') AND r.type = 'regulatory' WHERE p.rank <= 5 AND (p.item_id, r.record_id) NOT IN (SELECT item_id, record_id FROM pi)),
 n1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, record_id ORDER BY parent, edge_no) AS k FROM nb) WHERE k = 1),
 al AS (SELECT item_id, record_id, score, source, rank FROM pi UNION ALL SELECT item_id, record_id, score, 'graph', parent + 1000 FROM n1)
-SELECT item_id, record_id, score, source, CAST(rank AS INTEGER) AS rank FROM (SELECT item_id, record_id, score, source, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, al.rank, record_id) AS rank FROM al) WHERE rank <= 6""",
+SELECT item_id, record_id, score, source, CAST(rank AS INTEGER) AS rank FROM (SELECT item_id, record_id, score, source, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, al.rank, record_id) AS rank FROM al) WHERE rank <= 12""",
 )
 def graph_expand(spark, sf):
-    return ranking.expanded(_pins(spark), edges(spark), records(spark), 6)
+    return ranking.expanded(_pins(spark, sf), edges(spark, sf, UNIQUE_SQL), unique_records(spark, sf), 12)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorevine.operators import citations, evaluation
 from lorevine.plans.retrieval_queries import BM, FUSED, KNN, POST, SCORES, STATS, TERMS_DEDUP, RANKED, TOK, bm25_hits, dense_hits, fused_hits
-from lorevine.plans.tables import ANSWERS_SQL, CITED_SQL, RECORDS_SQL, REWRITES_SQL, inline, load, questions, records
+from lorevine.plans.tables import ANSWERS_SQL, CITED_SQL, RECORDS_SQL, REWRITES_SQL, derived, load, questions, records
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -32,13 +32,8 @@ def per_q(ranked: str, name: str = "pq") -> str:
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """Question-document pairs in which the document contains the question's passage.
-
-    Documents that share no word with a passage can't contain it, but which do is only
-    known from the whole text, so the stated set of passages meets every document.
-    """
-    d, q = load(spark, sf, "documents").select("doc_id", F.col("text").alias("t")), questions(spark, sf)
-    return q.join(d, F.col("t").contains(F.col("text"))).select("item_id", "doc_id")
+    """Question-document pairs in which the document contains the question's passage."""
+    return evaluation.containing(questions(spark, sf), load(spark, sf, "documents"))
 
 
 def category(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,19 +162,22 @@ def round_robin_sample(spark, sf):
 @query(
     "token_diff",
     f"""WITH {GOLD}, t AS (SELECT item_id, doc_id, list_distinct({TOK.format(c='b.text')}) AS q, list_distinct({TOK.format(c='d.text')}) AS p FROM gold JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id))
-SELECT item_id, doc_id, array_to_string(list_sort(list_filter(p, lambda x: NOT list_contains(q, x)))[1:40], ' ') AS extra, len(list_filter(q, lambda x: NOT list_contains(p, x))) AS n_missing FROM t""",
+SELECT item_id, doc_id, array_to_string(list_sort(list_filter(p, lambda x: NOT list_contains(q, x)))[1:40], ' ') AS extra, len(list_filter(p, lambda x: NOT list_contains(q, x))) AS n_extra, len(list_filter(q, lambda x: NOT list_contains(p, x))) AS n_missing FROM t""",
 )
 def token_diff(spark, sf):
     from lorevine.functions import text as T
 
     both = gold(spark, sf).join(questions(spark, sf).select("item_id", T.tokens(F.col("text")).alias("q")), "item_id").join(load(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("p")), "doc_id")
-    return both.select("item_id", "doc_id", F.array_join(F.slice(F.array_sort(F.array_except("p", "q")), 1, 40), " ").alias("extra"), F.size(F.array_except("q", "p")).cast("long").alias("n_missing"))
+    return both.select("item_id", "doc_id", F.array_join(F.slice(F.array_sort(F.array_except("p", "q")), 1, 40), " ").alias("extra"), F.size(F.array_except("p", "q")).cast("long").alias("n_extra"), F.size(F.array_except("q", "p")).cast("long").alias("n_missing"))
+
+
+_ASKED = f"SELECT DISTINCT 'pcg-' || article AS citation FROM ({RECORDS_SQL}) r WHERE article IS NOT NULL AND doc_id % 5 = 2"
 
 
-@query("gold_match", f"WITH rec AS ({RECORDS_SQL}) SELECT c.citation, rec.record_id FROM (VALUES ('pcg-214-1'), ('pcg-321-5'), ('pcg-na-1')) c(citation), rec WHERE record_id = citation OR regexp_matches(record_id, '^' || citation || '([@#]|-c)')")
+@query("gold_match", f"WITH rec AS ({RECORDS_SQL}) SELECT c.citation, rec.record_id, rec.doc_id FROM ({_ASKED}) c, rec WHERE starts_with(record_id, citation) AND (record_id = citation OR regexp_matches(record_id[length(citation) + 1 :], '^([@#]|-c)'))")
 def gold_match(spark, sf):
-    cited = inline(spark, "SELECT * FROM (VALUES ('pcg-214-1'), ('pcg-321-5'), ('pcg-na-1')) AS c(citation)")
-    return cited.join(records(spark), evaluation.matches(F.col("record_id"), F.col("citation"))).select("citation", "record_id")
+    """The records that cited articles name, by an equi-join on what a citation may be."""
+    return evaluation.matched(records(spark, sf), derived(spark, sf, _ASKED)).select("citation", "record_id", "doc_id")
 
 
 KEY = "lower(trim(regexp_replace(translate({c}, '’‘ʼ＇', ''''''''''), '\\s+', ' ', 'g')))"
@@ -191,47 +189,48 @@ vd AS (SELECT cite_id, item_id, record_id, CASE WHEN n < 30 THEN 'extract_too_sh
  coalesce(n >= 30 AND contains(coalesce(exact_text, CASE WHEN nv = 1 THEN version_text END), extract), false) AS raw_match FROM j)"""
 
 
-def _verdicts(spark):
-    one = records(spark).groupBy("record_id").agg(F.min("text").alias("text"))
-    return citations.verdicts(inline(spark, CITED_SQL), one)
+def _verdicts(spark, sf):
+    one = records(spark, sf).groupBy("record_id").agg(F.min("text").alias("text"))
+    return citations.verdicts(derived(spark, sf, CITED_SQL), one)
 
 
 @query("citation_verdicts", f"{_VERDICTS} SELECT * FROM vd")
 def citation_verdicts(spark, sf):
-    return _verdicts(spark)
+    return _verdicts(spark, sf)
 
 
 @query("citation_rates", f"""{_VERDICTS} SELECT count(*) AS n_citations, round(avg(CASE WHEN verdict = 'unknown_record' THEN 1.0 ELSE 0.0 END), 4) AS unknown_rate, round(avg(CASE WHEN verdict IN ('extract_absent', 'extract_too_short') THEN 1.0 ELSE 0.0 END), 4) AS unsupported_rate,
  round(avg(CASE WHEN verdict = 'version_omitted' THEN 1.0 ELSE 0.0 END), 4) AS omitted_rate, round(avg(CASE WHEN raw_match THEN 1.0 ELSE 0.0 END), 4) AS raw_rate FROM vd""")
 def citation_rates(spark, sf):
-    return citations.rates(_verdicts(spark))
+    return citations.rates(_verdicts(spark, sf))
 
 
 @query("citations_per_answer", f"{_VERDICTS}, n AS (SELECT item_id, count(*) AS n FROM vd GROUP BY item_id) SELECT min(n) AS least, max(n) AS most, median(n) AS median, round(avg(n), 4) AS mean FROM n")
 def citations_per_answer(spark, sf):
-    return citations.per_answer(_verdicts(spark))
+    return citations.per_answer(_verdicts(spark, sf))
 
 
 @query("worst_verdict", f"{_VERDICTS} SELECT item_id, arg_min(verdict, list_position({list(citations.SEVERITY)!r}, verdict)) AS verdict FROM vd GROUP BY item_id")
 def worst_verdict(spark, sf):
-    return citations.worst(_verdicts(spark))
+    return citations.worst(_verdicts(spark, sf))
 
 
 _SP = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 _TY = "translate(" + _SP + ", '’‘ʼ＇«»“”–—', '''''''''\"\"\"\"--')"
 _FO = "translate(lower(" + _TY + "), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
 _STEPS = " ".join(f"WHEN contains({f.format(c='text')}, {f.format(c='extract')}) THEN '{n}'" for n, f in (("raw", "{c}"), ("spaces", _SP), ("typography", _TY), ("case_accents", _FO)))
-_EXTRACTS = "CASE doc_id % 4 WHEN 0 THEN substring(text, 20, 60) WHEN 1 THEN replace(substring(text, 20, 60), ' ', '  ') WHEN 2 THEN upper(translate(substring(text, 20, 60), 'ß', '')) ELSE substring(text, 20, 30) || ' # ' || substring(text, 50, 20) END"
+_AT = "substring(text, 1 + CAST(floor(length(text) * (doc_id % 11) / 12) AS INT), {n})"
+_EXTRACTS = f"CASE doc_id % 4 WHEN 0 THEN {_AT.format(n=60)} WHEN 1 THEN replace({_AT.format(n=60)}, ' ', '  ') WHEN 2 THEN upper(translate({_AT.format(n=60)}, 'ß', '')) ELSE {_AT.format(n=30)} || ' # ' || substring(text, 1, 20) END"
 
 
-@query("verbatim_ladder", f"SELECT doc_id, CASE {_STEPS} ELSE 'absent' END AS level FROM (SELECT doc_id, text, {_EXTRACTS} AS extract FROM documents WHERE length(text) >= 100)")
+@query("verbatim_ladder", f"SELECT doc_id, CASE {_STEPS} ELSE 'absent' END AS level FROM (SELECT doc_id, text, {_EXTRACTS} AS extract FROM documents)")
 def verbatim_ladder(spark, sf):
     """Extracts cut from documents: as they are, respaced, upper-cased, or broken."""
-    cut = load(spark, sf, "documents").filter(F.length("text") >= 100).withColumn("extract", F.expr(_EXTRACTS))
+    cut = load(spark, sf, "documents").withColumn("extract", F.expr(_EXTRACTS))
     return citations.ladder(cut).select("doc_id", "level")
 
 
-@query("verbatim_histogram", f"WITH l AS (SELECT CASE {_STEPS} ELSE 'absent' END AS level FROM (SELECT doc_id, text, {_EXTRACTS} AS extract FROM documents WHERE length(text) >= 100)) SELECT level, count(*) AS n, round(count(*) / (SELECT count(*) FROM l), 4) AS share FROM l GROUP BY level")
+@query("verbatim_histogram", f"WITH l AS (SELECT CASE {_STEPS} ELSE 'absent' END AS level FROM (SELECT doc_id, text, {_EXTRACTS} AS extract FROM documents)) SELECT level, count(*) AS n, round(count(*) / (SELECT count(*) FROM l), 4) AS share FROM l GROUP BY level")
 def verbatim_histogram(spark, sf):
     counts = verbatim_ladder(spark, sf).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
@@ -247,12 +246,12 @@ _NUMS = "list_distinct(regexp_extract_all({c}, '\\d{{3,4}}-\\d+(?:-\\d+)?'))"
 SELECT item_id, array_to_string(list_sort(added), ',') AS added, CASE WHEN len(added) = 0 THEN 'copied' WHEN list_contains(added, gold) THEN 'leak' ELSE 'invented' END AS verdict FROM a""",
 )
 def rewrite_leak_audit(spark, sf):
-    return citations.leak_audit(inline(spark, REWRITES_SQL).withColumn("gold", F.array("gold")))
+    return citations.leak_audit(derived(spark, sf, REWRITES_SQL).withColumn("gold", F.array("gold")))
 
 
 @query("abstention_rates", f"WITH a AS ({ANSWERS_SQL}) SELECT reason, count(*) AS n, round(avg(CASE WHEN abstention THEN 1.0 ELSE 0.0 END), 4) AS abstention_rate, coalesce(string_agg(item_id::VARCHAR, ',' ORDER BY item_id) FILTER (NOT abstention), '') AS answered FROM a GROUP BY reason")
 def abstention_rates(spark, sf):
-    return inline(spark, ANSWERS_SQL).groupBy("reason").agg(
+    return derived(spark, sf, ANSWERS_SQL).groupBy("reason").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(F.when(F.col("abstention"), 1.0).otherwise(0.0)), 4).alias("abstention_rate"),
         F.array_join(F.array_sort(F.collect_list(F.when(~F.col("abstention"), F.col("item_id")))), ",").alias("answered"),

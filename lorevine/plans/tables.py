@@ -1,63 +1,61 @@
-"""Tables that queries read: the input folder's, and small ones written out here.
+"""Tables that queries read: the input folder's, and records, edges, lines, questions and
+citations derived from them.
 
-The small ones are SQL that Spark and DuckDB both read, so a query and its SQL see the
-same rows.
+The derived ones are SQL that Spark and DuckDB both read (``FROM documents`` and the like), so a
+query and its SQL see the same rows, and as many of them as the input has.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_NUMBER = "CAST(100 + {k} % 97 AS STRING) || '-' || CAST(1 + {k} % 3 AS STRING)"
+_OWN, _ASKED, _OTHER = _NUMBER.format(k="doc_id"), _NUMBER.format(k="item_id"), _NUMBER.format(k="(item_id * 5 + 2)")
+
+#: A document is a record: some share an id, some have two versions, some no article, some no text.
+RECORDS_SQL = f"""SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'pcg-na-' || CAST(doc_id AS STRING) ELSE 'pcg-' || {_OWN} || CASE WHEN doc_id % 4 = 1 THEN '-c1' ELSE '' END END
+|| CASE WHEN doc_id % 11 = 5 THEN '@2024-01-01' ELSE '@2026-01-01' END AS record_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE {_OWN} END AS article,
+'Livre I > Titre ' || CASE doc_id % 5 WHEN 0 THEN 'I' WHEN 1 THEN 'II' WHEN 2 THEN 'iii' WHEN 3 THEN 'X2' ELSE '1' END AS path,
+CASE WHEN doc_id % 50 = 7 THEN '' ELSE text END AS text, CASE WHEN doc_id % 13 = 0 OR doc_id % 4 = 1 THEN 'comment' ELSE 'regulatory' END AS type FROM documents"""
+
+#: The same with an id for each document, for what ranks records.
+UNIQUE_SQL = f"SELECT doc_id, record_id || '#' || CAST(doc_id AS STRING) AS record_id, article, path, text, type FROM ({RECORDS_SQL}) r"
+
+EDGES_SQL = f"""SELECT doc_id * 2 AS edge_no, record_id AS source_id, 'pcg-' || CAST(100 + (doc_id * 7 + 3) % 120 AS STRING) || '-' || CAST(1 + doc_id % 3 AS STRING) AS target, 'internal' AS family FROM ({RECORDS_SQL}) r
+UNION ALL SELECT doc_id * 2 + 1, record_id, 'crc-04-' || CAST(10 + doc_id % 90 AS STRING), CASE WHEN doc_id % 2 = 0 THEN 'historical' ELSE 'external' END FROM ({RECORDS_SQL}) r WHERE doc_id % 5 = 0"""
+
+ROUTE_SQL = f"""SELECT item_id, text || CASE item_id % 4 WHEN 0 THEN ' Que dit l''article ' || {_ASKED} || ' ?' WHEN 1 THEN ' Comparer Art. ' || {_ASKED} || ' et art. ' || {_OTHER}
+WHEN 2 THEN '' ELSE ' Les articles ' || {_ASKED} || ' et ' || {_OTHER} || ', puis article ' || {_ASKED} END AS text FROM benchmark"""
+
+_CUT = "substring(text, 1 + CAST(floor(length(text) * (doc_id % 7) / 8) AS INT), 60)"
+#: A citation of every record, of three kinds of ids and five of extracts, taken from all over the text.
+CITED_SQL = f"""SELECT doc_id AS cite_id, CAST(floor(doc_id / 4) AS BIGINT) AS item_id, CASE doc_id % 6 WHEN 0 THEN replace(replace(record_id, '@2024-01-01', ''), '@2026-01-01', '') WHEN 1 THEN 'pcg-999-' || CAST(doc_id AS STRING) || '@2026-01-01' ELSE record_id END AS record_id,
+CASE doc_id % 5 WHEN 0 THEN {_CUT} WHEN 1 THEN replace({_CUT}, ' ', '  ') WHEN 2 THEN substring({_CUT}, 1, 12) WHEN 3 THEN replace({_CUT}, chr(39), '’') ELSE 'Un extrait qui ne figure nulle part dans ce texte' END AS extract FROM ({RECORDS_SQL}) r"""
+
+REWRITES_SQL = f"""SELECT item_id, text || ' article ' || {_ASKED} AS question, text || CASE item_id % 4 WHEN 0 THEN ' ' || {_ASKED} WHEN 1 THEN ' ' || {_ASKED} || ' ' || {_OTHER} WHEN 2 THEN ' 999-1' ELSE '' END AS rewrite,
+CASE WHEN item_id % 8 < 4 THEN {_OTHER} ELSE '999-1' END AS gold FROM benchmark"""
 
-RECORDS_SQL = """SELECT * FROM (VALUES
-('pcg-214-1@2026-01-01', '214-1', 'Livre I > Titre II', 'Les amortissements des immobilisations sont répartis sur leur durée probable d''utilisation.', 'regulatory'),
-('pcg-214-1-c1@2026-01-01', '214-1', 'Livre I > Titre II', 'Commentaire sur les amortissements dérogatoires et leur comptabilisation.', 'comment'),
-('pcg-214-10@2026-01-01', '214-10', 'Livre I > Titre II', 'Les dépréciations sont constatées lorsque la valeur actuelle devient inférieure.', 'regulatory'),
-('pcg-321-5@2026-01-01', '321-5', 'Livre II > Titre III', 'Le contrat de crédit-bail figure dans l''annexe de l''entité qui le prend.', 'regulatory'),
-('pcg-321-5@2024-01-01', '321-5', 'Livre II > Titre III', 'Le contrat de crédit-bail figurait dans l''annexe de cette entité autrefois.', 'regulatory'),
-('pcg-410-2@2026-01-01', '410-2', 'Livre III > Titre 5', 'Les subventions d''investissement sont inscrites au passif puis reprises au résultat.', 'regulatory'),
-('pcg-na-1@2026-01-01', NULL, 'Livre III', 'Texte sans article rattaché à la section courante du recueil.', 'comment'),
-('pcg-na-2@2026-01-01', NULL, 'Livre III', '', 'comment'),
-('pcg-410-2@2026-01-01', '410-2', 'Livre III > Titre 5', 'Fragment en double d''un article déjà ouvert plus haut.', 'regulatory')
-) AS r(record_id, article, path, text, type)"""
-
-EDGES_SQL = """SELECT * FROM (VALUES
-(1, 'pcg-214-1@2026-01-01', 'pcg-214-10', 'internal'), (2, 'pcg-214-1@2026-01-01', 'pcg-999-1', 'internal'), (3, 'pcg-214-1@2026-01-01', 'crc-04-01', 'historical'),
-(4, 'pcg-214-10@2026-01-01', 'pcg-410-2', 'internal'), (5, 'pcg-321-5@2026-01-01', 'pcg-214-1', 'internal'), (6, 'pcg-410-2@2026-01-01', 'legi-1844-5-code-civil', 'external')
-) AS e(edge_no, source_id, target, family)"""
-
-ROUTE_SQL = """SELECT * FROM (VALUES
-(1, 'Que dit l''article 214-1 ?'), (2, 'Comparer Art. 321-5 et art. 214-10 du plan'), (3, 'Quels amortissements ?'), (4, 'Les articles 410-2 et 214-1, puis article 410-2')
-) AS q(item_id, text)"""
-
-CITED_SQL = """SELECT * FROM (VALUES
-(1, 1, 'pcg-214-1@2026-01-01', 'Les   amortissements des immobilisations sont répartis'), (2, 1, 'pcg-214-1@2026-01-01', 'amortir'),
-(3, 1, 'pcg-321-5', 'Le contrat de crédit-bail figure dans l''annexe'), (4, 2, 'pcg-214-10', 'Les dépréciations sont constatées lorsque la valeur'),
-(5, 2, 'pcg-214-10@2026-01-01', 'Un extrait qui ne figure nulle part dans ce texte'), (6, 3, 'pcg-777-7@2026-01-01', 'Un extrait d''un enregistrement qui n''existe pas'),
-(7, 4, 'pcg-214-10@2026-01-01', 'Les dépréciations sont constatées lorsque la valeur actuelle'), (8, 4, 'pcg-321-5@2024-01-01', 'LE CONTRAT DE CRÉDIT-BAIL FIGURAIT DANS L’ANNEXE')
-) AS c(cite_id, item_id, record_id, extract)"""
-
-LINES_SQL = """SELECT * FROM (VALUES
-(1, 1, 'Livre I Principes', 12.0, true, 'Tahoma', 70.0, 100.0, 20), (1, 2, 'Titre II Actif', 11.0, true, 'Tahoma', 70.0, 120.0, 20), (1, 3, 'et évaluation', 11.0, true, 'Tahoma', 70.0, 140.0, 20),
-(1, 4, 'Art. 214-1 Les biens', 10.0, true, 'Tahoma', 70.0, 160.0, 20), (1, 5, 'sont amortis selon les articles 214-2 et 214-', 10.0, false, 'Tahoma', 70.0, 180.0, 20), (1, 6, '3.', 10.0, false, 'Tahoma', 70.0, 200.0, 20),
-(1, 7, '20', 10.0, false, 'Tahoma', 40.0, 500.0, 20), (1, 8, 'IR 3 – Commentaire', 9.5, true, 'Tahoma', 70.0, 220.0, 21), (1, 9, 'Le texte du commentaire.', 9.5, false, 'Tahoma', 70.0, 240.0, 21),
-(1, 10, '-', 9.5, false, 'Symbol', 70.0, 260.0, 21), (1, 11, 'premier point', 9.5, false, 'Tahoma', 80.0, 260.0, 21), (1, 12, 'Article 214-2 Suite', 10.0, true, 'Tahoma', 70.0, 280.0, 21),
-(1, 13, 'Un alinéa.', 10.0, false, 'Tahoma', 70.0, 300.0, 22), (1, 14, 'Chapitre I Autres ........ 45', 11.0, true, 'Tahoma', 70.0, 320.0, 22), (1, 15, 'Chapitre II Passif', 11.0, true, 'Tahoma', 70.0, 340.0, 22),
-(1, 16, 'Texte de section.', 10.0, false, 'Tahoma', 70.0, 360.0, 22), (1, 17, 'entre deux', 9.2, false, 'Tahoma', 70.0, 380.0, 22), (1, 18, 'Art. 214-2 bis', 10.0, true, 'Tahoma', 70.0, 400.0, 23), (1, 19, 'Encore un alinéa.', 10.0, false, 'Tahoma', 70.0, 420.0, 23),
-(2, 1, 'Titre I Bilan', 10.6, false, 'Tahoma', 70.0, 80.0, 30), (2, 2, 'pied de page', 8.0, false, 'Tahoma', 70.0, 800.0, 30), (2, 3, 'Annexe', 12.0, true, 'Tahoma', 70.0, 90.0, 30), (2, 4, 'Texte libre.', 10.0, false, 'Tahoma', 70.0, 110.0, 31)
-) AS l(doc_id, seq, text, size, bold, font, x, y, page)"""
-
-REWRITES_SQL = """SELECT * FROM (VALUES
-(1, 'Que dit l''article 214-1 ?', 'amortissement article 214-1', '214-1'), (2, 'Quels amortissements ?', 'amortissement 214-1 214-10', '214-1'), (3, 'Quelles subventions ?', 'subventions 999-1', '410-2'), (4, 'Crédit-bail ?', 'crédit-bail annexe', '321-5')
-) AS w(item_id, question, rewrite, gold)"""
-
-ANSWERS_SQL = """SELECT * FROM (VALUES
-(1, true, 'out_of_scope'), (2, true, 'fiscal'), (3, false, 'fiscal'), (4, true, 'not_in_corpus'), (5, false, 'not_in_corpus'), (6, true, 'fiscal')
-) AS a(item_id, abstention, reason)"""
-
-
-CITING_SQL = """SELECT * FROM (VALUES
-('c1', 'Voir les articles 212-1 et 212-2, puis l''article 1844-5 du code civil.'), ('c2', 'article L. 521-1 du Code monétaire et financier et article L. 521-2 du même code.'), ('c3', 'Avis CNC n° 2004-15 et règlement CRC n° 04-01')
-) AS t(id, text)"""
+ANSWERS_SQL = """SELECT conv_id * 100 + turn AS item_id, length(text) % 3 = 0 AS abstention, CASE conv_id % 3 WHEN 0 THEN 'out_of_scope' WHEN 1 THEN 'fiscal' ELSE 'not_in_corpus' END AS reason FROM conversations WHERE role = 'assistant'"""
+
+#: Texts that cite, in every way there is, by documents.
+CITING_SQL = f"""SELECT doc_id, text || CASE doc_id % 8 WHEN 0 THEN ' Voir les articles ' || {_OWN} || ' et 212-2, puis l''article 1844-5 du code civil.' WHEN 1 THEN ' article L. 521-' || CAST(doc_id AS STRING) || ' du Code monétaire et financier et article L. 521-2 du même code.'
+WHEN 2 THEN ' Avis CNC n° 2004-' || CAST(doc_id AS STRING) || ' et règlement CRC n° 04-01' WHEN 3 THEN ' règlement n° 2004-06 du CRC, l’article R. 12.3-4 du code de l’énergie' WHEN 4 THEN ' articles 212-1 à ' || {_OWN} || ' du même code' WHEN 5 THEN ' article ' || {_OWN} ELSE '' END AS text FROM documents"""
+
+_TENS = "CASE CAST(floor((1 + doc_id % 99) / 10) AS INT) WHEN 0 THEN '' WHEN 1 THEN 'X' WHEN 2 THEN 'XX' WHEN 3 THEN 'XXX' WHEN 4 THEN 'XL' WHEN 5 THEN 'L' WHEN 6 THEN 'LX' WHEN 7 THEN 'LXX' WHEN 8 THEN 'LXXX' ELSE 'XC' END"
+_ONES = "CASE (1 + doc_id % 99) % 10 WHEN 0 THEN '' WHEN 1 THEN 'I' WHEN 2 THEN 'II' WHEN 3 THEN 'III' WHEN 4 THEN 'IV' WHEN 5 THEN 'V' WHEN 6 THEN 'VI' WHEN 7 THEN 'VII' WHEN 8 THEN 'VIII' ELSE 'IX' END"
+ROMAN_SQL = f"SELECT doc_id, {_TENS} || {_ONES} AS roman FROM documents"
+
+_TURN = "(doc_id + seq * (1 + 2 * (doc_id % 3))) % 16"
+#: Sentences of documents (``FROM sentences``) in the typography of all kinds of lines.
+LINES_SQL = f"""SELECT doc_id, seq, CASE k WHEN 0 THEN 'Livre ' || t WHEN 1 THEN 'Titre II ' || substring(t, 1, 30) WHEN 2 THEN substring(t, 1, 20) WHEN 3 THEN 'Chapitre I ........ 45' WHEN 4 THEN 'Art. 21' || CAST(seq % 10 AS STRING) || '-' || CAST(1 + doc_id % 3 AS STRING) || ' ' || t
+WHEN 5 THEN 'Art. 2 bis' WHEN 7 THEN t || ' selon l''article 212-1.' WHEN 9 THEN t || '-' WHEN 10 THEN 'Avis CNC n° 2004-15 ' || substring(t, 1, 20) WHEN 13 THEN '-' WHEN 14 THEN CAST(10 + CAST(floor(seq / 6) AS INT) AS STRING) ELSE t END AS text,
+CASE WHEN k = 0 THEN 12.0 WHEN k < 4 THEN 11.0 WHEN k < 10 THEN 10.0 WHEN k < 14 THEN 9.5 WHEN k = 14 THEN 10.0 ELSE 9.2 END AS size, k IN (0, 1, 2, 3, 4, 5, 10) AS bold, CASE WHEN k = 13 THEN 'Symbol' ELSE 'Tahoma' END AS font, CASE WHEN k = 14 THEN 40.0 ELSE 70.0 END AS x, 100.0 + seq AS y,
+10 + CAST(floor(seq / 6) AS INT) AS page FROM (SELECT doc_id, seq, trim(t) AS t, {_TURN} AS k FROM sentences) s"""
+_SENTENCE = r"[.\n]+ ?"
+SENTENCES_SQL = f"""SELECT doc_id, seq, t FROM (SELECT doc_id, unnest(range(0, len(p))) AS seq, unnest(p) AS t FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{_SENTENCE}') AS p FROM documents)) WHERE trim(t) <> ''"""
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,17 +69,29 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark")
 
 
-def inline(spark: SparkSession, sql: str) -> DataFrame:
-    return spark.sql(sql)
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Rows of SQL over the input folder's tables, which it names after FROM."""
+    names = sorted(set(re.findall(r"FROM (\w+)\b", sql)))
+    return spark.sql(re.sub(r"FROM (\w+)\b", r"FROM {\1}", sql), **{name: sentences(spark, sf_dir) if name == "sentences" else load(spark, sf_dir, name) for name in names})
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, seq, t: the sentences of all documents."""
+    each = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), _SENTENCE)).alias("seq", "t"))
+    return each.withColumn("seq", F.col("seq").cast("long")).filter(F.trim("t") != "")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, RECORDS_SQL)
 
 
-def records(spark: SparkSession) -> DataFrame:
-    return inline(spark, RECORDS_SQL)
+def unique_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, UNIQUE_SQL)
 
 
-def edges(spark: SparkSession) -> DataFrame:
-    return inline(spark, EDGES_SQL)
+def edges(spark: SparkSession, sf_dir: str, records_sql: str = RECORDS_SQL) -> DataFrame:
+    return derived(spark, sf_dir, EDGES_SQL.replace(RECORDS_SQL, records_sql))
 
 
-def route_questions(spark: SparkSession) -> DataFrame:
-    return inline(spark, ROUTE_SQL)
+def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, ROUTE_SQL)

@@ -4,14 +4,15 @@ import os
 import random
 import sqlite3
 
+import literals
 import pytest
 from pyspark.sql import functions as F
 
 from lorevine.functions import text as T
-from lorevine.functions.references import references
+from lorevine.functions.references import extract_references
 from lorevine.functions.stemmer import normalized
 from lorevine.operators import assembly, citations, evaluation, integrity, lexical, models, ranking
-from lorevine.plans import catalog, index, ingest_queries
+from lorevine.plans import catalog, index
 from lorevine.sources import files
 from lorevine.sources import lines as line_source
 from lorevine.streaming.refresh import postings_stream
@@ -63,16 +64,18 @@ def test_stemmer_goldens():
         (None, []),
     ],
 )
-def test_references(text, targets):
-    assert [t for t, _ in references(text)] == targets
+def test_references(spark, text, targets):
+    found = spark.createDataFrame([(text,)], "text string").select(extract_references("text").alias("edges")).first().edges
+    assert [e.target for e in found] == targets
 
 
-def test_joined_lines():
-    assert assembly.joined(["Voir les articles 214-15 à 214-", "18."]) == "Voir les articles 214-15 à 214-18."
-    assert assembly.joined(["Première phrase.", "Deuxième phrase", "qui continue."]) == "Première phrase.\nDeuxième phrase qui continue."
-    assert assembly.joined(["Traitement :", "-", "suite du texte"]) == "Traitement :\n- suite du texte"
-    assert assembly.joined(["4 060 000", "-", "-", "-", "11 710 000"]) == "4 060 000\n-\n-\n- 11 710 000"
-    assert assembly.joined([]) == ""
+def test_joined_lines(spark):
+    joined = lambda lines: spark.createDataFrame([(lines,)], "lines array<string>").select(assembly.joined("lines").alias("text")).first().text
+    assert joined(["Voir les articles 214-15 à 214-", "18."]) == "Voir les articles 214-15 à 214-18."
+    assert joined(["Première phrase.", "Deuxième phrase", "qui continue."]) == "Première phrase.\nDeuxième phrase qui continue."
+    assert joined(["Traitement :", "-", "suite du texte"]) == "Traitement :\n- suite du texte"
+    assert joined(["4 060 000", "-", "-", "-", "11 710 000"]) == "4 060 000\n-\n-\n- 11 710 000"
+    assert joined([]) == ""
 
 
 def test_chunks(spark):
@@ -82,14 +85,15 @@ def test_chunks(spark):
 
 
 def test_assembly(spark):
-    rows = {r.record_id: r for r in ingest_queries.assemble_records(spark, "").collect() if r.doc_id == 1}
+    lines = spark.sql(literals.LINES_SQL).withColumn("size", F.col("size").cast("double")).withColumn("kind", assembly.kind())
+    rows = {r.record_id: r for r in assembly.records(lines).collect() if r.doc_id == 1}
     one = rows["pcg-214-1@2026-01-01"]
     assert one.text == "Les biens sont amortis selon les articles 214-2 et 214-3." and one.targets == ["pcg-214-2", "pcg-214-3"]
     assert one.path == "Livre I Principes > Titre II Actif et évaluation" and (one.page_from, one.page_to) == (20, 20)
     note = rows["pcg-214-1-c1@2026-01-01"]
     assert note.text == "IR 3 – Commentaire\nLe texte du commentaire.\n- premier point" and note.source_citation == "IR 3 – Commentaire" and note.type == "comment"
     assert rows["pcg-na-1@2026-01-01"].path.endswith("Chapitre II Passif") and "pcg-214-2@2026-01-01#2" in rows
-    categories = sorted(r.category for r in ingest_queries.assembly_anomalies(spark, "").collect())
+    categories = sorted(r.category for r in assembly.anomalies(lines).collect())
     assert categories == ["id collision", "section without level", "unclassified line"]
 
 
@@ -160,18 +164,25 @@ def test_rates_are_null_without_citations(spark):
 
 
 def test_report(spark):
-    records = ingest_queries.records(spark)
-    text = integrity.report(records, integrity.check(records, ingest_queries.edges(spark)))
+    records = spark.sql(literals.RECORDS_SQL)
+    text = integrity.report(records, integrity.check(records, spark.sql(literals.EDGES_SQL)))
     assert "dangling reference" in text and text.startswith("# Anomalies")
 
 
-def test_spans():
-    span = lambda text, x0, x1, size=10.0, font="Tahoma": {"text": text, "size": size, "font": font, "bbox": [x0, 0.0, x1, 10.0]}
-    assert line_source.merged([span("l'", 0, 5), span(" ", 5, 9), span("actif", 9, 20)])["text"] == "l'actif"
-    assert line_source.merged([span("deux", 0, 10), span("mots", 13, 20)])["text"] == "deux mots"
-    assert line_source.merged([span("un", 0, 10), span("seul", 11, 20)])["text"] == "unseul"
-    assert line_source.merged([span("o", 0, 2, font="Courier"), span("point", 10, 20)])["text"] == "- point"
-    assert line_source.merged([span("x", 0, 2, size=1.0)])["text"] == ""
+def test_spans(spark):
+    span = lambda text, x0, x1, size=10.0, font="Tahoma": (text, size, font, [x0, 0.0, x1, 10.0])
+    cases = [
+        ([span("l'", 0.0, 5.0), span(" ", 5.0, 9.0), span("actif", 9.0, 20.0)], "l'actif", "Tahoma"),
+        ([span("deux", 0.0, 10.0), span("mots", 13.0, 20.0)], "deux mots", "Tahoma"),
+        ([span("un", 0.0, 10.0), span("seul", 11.0, 20.0)], "unseul", "Tahoma"),
+        ([span("o", 0.0, 2.0, font="Courier"), span("point", 10.0, 20.0)], "- point", "Tahoma"),
+        ([span("x", 0.0, 2.0, size=1.0)], "", "Tahoma"),
+        ([span(" ", 0.0, 9.0), span("a", 9.0, 10.0), span(" ", 10.0, 10.5), span("b", 10.5, 12.0), span("  ", 12.0, 15.0), span("cc", 15.0, 16.0, font="Tahoma-Bold")], "ab cc", "Tahoma-Bold"),
+        ([], "", ""),
+    ]
+    df = spark.createDataFrame([(k, c, 1.0, 0.0) for k, (c, _, _) in enumerate(cases)], f"k int, spans array<{line_source.SPAN}>, dx double, dy double")
+    out = {r.k: r.line for r in df.select("k", line_source.merge_spans("spans", "dx", "dy").alias("line")).collect()}
+    assert [(out[k].text, out[k].font) for k in range(len(cases))] == [(text, font) for _, text, font in cases] and out[5].bold and not out[0].bold
 
 
 def test_model_cache():
