@@ -72,6 +72,15 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a few numbers each that are worth a task.
+TASK_ROWS = 20_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more tasks than that many rows are worth: each task of each step costs files and messages."""
+    return df.coalesce(max(1, min(parts(df.sparkSession), -(-rows // TASK_ROWS))))
+
+
 def document_text(df: DataFrame) -> DataFrame:
     """doc_id and text of a documents table, null text read as empty."""
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -18,12 +18,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = common.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = _mark(now)
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        rows = 2 * mark[0]
+        both = common.few(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), rows)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = common.few(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), rows)
+        large = common.few(large.distinct(), rows)
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = common.cut(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+        now = common.few(small.unionByName(lower.select("u", F.col("m").alias("v"))), rows)
+        now = common.cut(common.few(now.distinct(), rows))
         old, mark = mark, _mark(now)
         if mark == old:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -316,13 +316,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame, sets: DataFrame, checked: bool = False) -> DataFrame:
-    """The pairs that are links. ``checked``: their sketches were compared already."""
+def _links(pairs: DataFrame, texts: DataFrame, sets: DataFrame, rows: int, checked: bool = False) -> DataFrame:
+    """The pairs that are links, of ``rows`` rows in all. ``checked``: their sketches were compared already."""
     spark = pairs.sparkSession
     if not checked:
         own = sets.select(F.col("node"), "n", "sketch")
-        near = pairs.join(own.toDF("a", "na", "sa"), "a").join(own.toDF("b", "nb", "sb"), "b")
-        near = near.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT))
+        near = common.few(pairs.join(own.toDF("a", "na", "sa"), "a"), rows).join(own.toDF("b", "nb", "sb"), "b")
+        near = common.few(near.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)), rows)
         pairs = near.mapInArrow(_within, "a long, b long")
     pairs = common.cut(pairs.select("a", "b"))
     table = candidate_table(pairs)
@@ -338,9 +338,11 @@ def _links(pairs: DataFrame, texts: DataFrame, sets: DataFrame, checked: bool =
 
     # Rows that repeat with id and text have one key.
     some = texts.select("doc_id", "text").mapInArrow(candidates, "doc_id long, text string").dropDuplicates(["doc_id"])
+    some = common.few(some, rows)
     # a may be one document for a whole bucket: it is met while rows are just two ids.
-    both = pairs.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b").select("a", "text_a", "b", "text_b")
-    return common.cut(both.mapInArrow(_verified, "a long, b long").distinct())
+    both = common.few(pairs.join(some.toDF("a", "text_a"), "a"), rows).join(some.toDF("b", "text_b"), "b").select("a", "text_a", "b", "text_b")
+    # Pairs are distinct already.
+    return common.cut(common.few(both, rows).mapInArrow(_verified, "a long, b long"))
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,12 +388,15 @@ def grouped(documents: DataFrame, null_ids: bool = False) -> DataFrame:
     folder = f"{common.shared_folder(spark)}/sets-{uuid4().hex}"
     made = common.stored(texts.mapInArrow(_sets, SETS), folder)
     sets = common.cut(made.drop("keys"))
+    rows = sets.count()
+    few = lambda df: common.few(df, rows)
     filled = sets.filter("n > 0 and doc_id is not null")
     # Rows in the order of their ids: early documents are apt to be those that others were made from.
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("doc_id").alias("node"))
     classes = filled.groupBy("f1", "f2", "n").agg(F.min(place).alias("place")).select("f1", "f2", "n", "place", F.col("place.node").alias("node"))
-    node_of = common.cut(filled.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("doc_id", "node", "n", "place").distinct())
-    nodes = common.cut(node_of.filter("doc_id = node").select("node").distinct().join(filled.select(F.col("doc_id").alias("node"), "n", "sketch"), "node").dropDuplicates(["node"]))
+    node_of = common.cut(few(few(filled.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("doc_id", "node", "n", "place")).distinct()))
+    nodes = node_of.filter("doc_id = node").select("node").join(filled.select(F.col("doc_id").alias("node"), "n", "sketch"), "node").dropDuplicates(["node"])
+    nodes = common.cut(few(nodes))
 
     n = common.parts(spark)
     keys = made.filter("size(keys) > 0").select("doc_id", "keys").mapInArrow(_dealt, "key long, doc_id long, spread boolean")
@@ -400,22 +405,25 @@ def grouped(documents: DataFrame, null_ids: bool = False) -> DataFrame:
     met = common.cut(keys.repartition("key", spread).mapInArrow(_met, "key long, a long, b long"))
     common.remove(spark, folder)
     by_id = node_of.select("doc_id", "node")
-    large = common.cut(met.filter("key is not null").select("key", "a").join(node_of.select(F.col("doc_id").alias("a"), "node", "place"), "a").select("key", "node", "place").distinct())
-    star = _of_bucket(large, large.groupBy("key").agg(F.min("place")["node"].alias("first"))).select(F.col("first").alias("na"), F.col("node").alias("nb"))
-    pairs = met.filter("key is null").select("a", "b").distinct()
-    pairs = pairs.join(by_id.toDF("a", "na"), "a").join(by_id.toDF("b", "nb"), "b").select("na", "nb").unionByName(star)
-    pairs = pairs.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).filter("a <> b").distinct()
-    links = _links(pairs, texts, nodes)
+    large = few(met.filter("key is not null").select("key", "a").join(node_of.select(F.col("doc_id").alias("a"), "node", "place"), "a").select("key", "node", "place"))
+    large = common.cut(few(large.distinct()))
+    star = _of_bucket(large, few(large.groupBy("key").agg(F.min("place")["node"].alias("first")))).select(F.col("first").alias("na"), F.col("node").alias("nb"))
+    pairs = few(met.filter("key is null").select("a", "b").distinct())
+    pairs = few(few(pairs.join(by_id.toDF("a", "na"), "a")).join(by_id.toDF("b", "nb"), "b").select("na", "nb")).unionByName(few(star))
+    pairs = few(pairs.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).filter("a <> b").distinct())
+    links = _links(pairs, texts, nodes, rows)
     roots = graph.components(links)
 
     hot = large.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    hot = common.cut(few(hot))
     mixed_keys = hot.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
-    open_rows = common.cut(_of_bucket(hot, mixed_keys.select("key", "rows")).select("key", "node", "root", "rows"))
+    open_rows = common.cut(few(_of_bucket(hot, few(mixed_keys.select("key", "rows"))).select("key", "node", "root", "rows")))
     if not open_rows.isEmpty():
-        more = _links(_open_pairs(open_rows, nodes, n), texts, nodes, checked=True)
+        more = _links(few(_open_pairs(open_rows, nodes, n)), texts, nodes, rows, checked=True)
         if not more.isEmpty():
             roots = graph.components(links.unionByName(more))
-    of_rows = sets.filter("doc_id is not null").join(classes.drop("place"), ["f1", "f2", "n"], "left").join(roots, "node", "left").select("id", "doc_id", "n", "node", "root")
+    of_rows = few(sets.filter("doc_id is not null").select("id", "doc_id", "n").join(few(by_id), "doc_id", "left")).join(roots, "node", "left").select("id", "doc_id", "n", "node", "root")
+    of_rows = few(of_rows)
     alone = F.lit(None).cast("long")
     return of_rows.unionByName(sets.filter("doc_id is null").select("id", "doc_id", "n", alone.alias("node"), alone.alias("root")))
 
@@ -429,12 +437,14 @@ def _of_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id of the component) of every row."""
     rows = common.cut(grouped(documents))
+    number = rows.count()
+    few = lambda df: common.few(df, number)
     # Each node's least id first, so that few rows are left of a component that much is linked in.
-    by_node = rows.filter("node is not null").groupBy("node", "root").agg(F.min("id").alias("least"))
+    by_node = few(rows.filter("node is not null").groupBy("node", "root").agg(F.min("id").alias("least")))
     linked_nodes = common.cut(by_node.filter("root is not null"))
-    least = common.cut(linked_nodes.groupBy("root").agg(F.min("least").alias("least")))
-    named = linked_nodes.select("node", "root").join(least, "root").select("node", "least").unionByName(by_node.filter("root is null").select("node", "least"))
-    out = rows.join(named, "node", "left")
+    least = few(linked_nodes.groupBy("root").agg(F.min("least").alias("least")))
+    named = few(linked_nodes.select("node", "root").join(least, "root").select("node", "least")).unionByName(by_node.filter("root is null").select("node", "least"))
+    out = few(rows.join(named, "node", "left"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
