@@ -8,6 +8,7 @@ batch of questions is a frame too; its terms prune the postings by an equi-join.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,20 @@ def postings(docs: DataFrame, fields: dict[str, float] | None = None) -> DataFra
     return every.groupBy("doc_id", "term").agg(F.sum("w").alias("tf"), F.count(F.lit(1)).alias("n"))
 
 
+def counted(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """doc_id, term and n_<field> for each field: postings whose fields have no weight yet."""
+    each = F.array(*[F.struct(F.lit(c).alias("field"), T.tokens(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for c in fields])
+    terms = docs.select("doc_id", F.explode(each).alias("f")).select("doc_id", "f.field", F.explode("f.terms").alias("term"))
+    return terms.groupBy("doc_id", "term").agg(*[F.count(F.when(F.col("field") == c, 1)).alias(f"n_{c}") for c in fields])
+
+
+def weighted(counts: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Postings of ``counted`` fields under weights: no shuffle, so a weight can change with every search."""
+    add = lambda parts: reduce(lambda a, b: a + b, parts)
+    tf, n = add([F.col(f"n_{c}") * F.lit(w) for c, w in weights.items()]), add([F.col(f"n_{c}") for c in weights])
+    return counts.select("doc_id", "term", tf.alias("tf"), n.alias("n"))
+
+
 def doc_lengths(post: DataFrame) -> DataFrame:
     return post.groupBy("doc_id").agg(F.sum("n").alias("dl"))
 

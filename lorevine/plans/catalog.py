@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorevine.plans import ingest_queries, retrieval_queries, scoring_queries
+from lorevine.plans import ingest_queries, retrieval_queries, scoring_queries, search_queries
 
-_MODULES = (retrieval_queries, scoring_queries, ingest_queries)
+_MODULES = (retrieval_queries, scoring_queries, ingest_queries, search_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lorevine.functions.references import extract_references
 from lorevine.functions.stemmer import normalize
 from lorevine.operators import assembly, lexical, models
+from lorevine.operators.search import Corpus, field_counts
 
-TABLES = ("records", "edges", "chunks", "postings", "doc_len", "term_df", "vectors")
+TABLES = ("records", "edges", "chunks", "postings", "doc_len", "term_df", "vectors", "fields")
 
 
 def build(records: DataFrame, target: str, stemmed: bool = True) -> dict[str, int]:
@@ -17,7 +18,7 @@ def build(records: DataFrame, target: str, stemmed: bool = True) -> dict[str, in
     spark = records.sparkSession
     records.write.mode("overwrite").parquet(f"{target}/records")
     stored = spark.read.parquet(f"{target}/records")
-    stored.select("doc_id", F.explode(extract_references("text")).alias("e")).select("doc_id", "e.*").write.mode("overwrite").parquet(f"{target}/edges")
+    stored.select("doc_id", F.posexplode(extract_references("text")).alias("edge_no", "e")).select("doc_id", "edge_no", "e.*").write.mode("overwrite").parquet(f"{target}/edges")
     assembly.chunks(stored).write.mode("overwrite").parquet(f"{target}/chunks")
     chunks = spark.read.parquet(f"{target}/chunks")
     models.embed(chunks, "text").select("chunk_id", "doc_id", "embedding").write.mode("overwrite").parquet(f"{target}/vectors")
@@ -27,6 +28,9 @@ def build(records: DataFrame, target: str, stemmed: bool = True) -> dict[str, in
     post = spark.read.parquet(f"{target}/postings")
     lexical.doc_lengths(post).write.mode("overwrite").parquet(f"{target}/doc_len")
     lexical.term_df(post).write.mode("overwrite").parquet(f"{target}/term_df")
+    path = F.col("path") if "path" in stored.columns else F.lit("")
+    both = {name: normalize(c) if stemmed else c for name, c in (("text", F.col("text")), ("path", path))}
+    field_counts(stored.select("doc_id", *[c.alias(name) for name, c in both.items()])).write.mode("overwrite").parquet(f"{target}/fields")
     n = chunks.count()
     return {"chunks": n, "vectors": n, "records": stored.count()}
 
@@ -35,3 +39,14 @@ def table(spark: SparkSession, target: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"no such table: {name}")
     return spark.read.parquet(f"{target}/{name}")
+
+
+def opened(spark: SparkSession, target: str, stemmed: bool = True) -> Corpus:
+    """The stored index as a corpus to search; ``stemmed`` as it was built.
+
+    Its records need record_id, article and type; an edge leaves the record whose text has it. ``path``, where
+    records have one, is the second field.
+    """
+    records = table(spark, target, "records")
+    edges = table(spark, target, "edges").join(records.select("doc_id", F.col("record_id").alias("source_id")), "doc_id")
+    return Corpus(records, table(spark, target, "fields"), table(spark, target, "vectors"), edges, normalize if stemmed else None)
