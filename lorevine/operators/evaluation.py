@@ -31,20 +31,19 @@ def containing(questions: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id, doc_id of passages (item_id, text) and the texts (doc_id, text) that contain them.
 
     Both meet on three adjacent words, hashed: a passage gives those after its first word (which may begin within
-    a word of the text, as the last may end in one), a text all it has. Only pairs that meet are compared.
-    Passages of fewer than five words are compared with every text.
+    a word of the text, as the last may end in one), a text all it has. Only pairs that meet are compared, where they meet: the passages
+    are sent to every task, and no text leaves its own. Passages of fewer than five words are compared with every text.
     """
     words = lambda text: F.split(text, r"[^\p{L}\p{N}]+")
-    three = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, 3), " "))
+    three = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(3)])
     # The first and the last word of a passage may be cut off within a word of the text.
     asked = questions.select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
     long, short = asked.filter(F.size("w") >= 5), asked.filter((F.size("w") < 5) & (F.col("passage") != ""))
-    keyed = long.select("item_id", "passage", three(F.col("w"), F.lit(2)).alias("key"))
-    own = docs.select("doc_id", "text").withColumn("w", words(F.col("text"))).filter(F.size("w") >= 3)
-    grams = own.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: three(F.col("w"), i)))).alias("key"))
-    met = grams.join(keyed.select("item_id", "key"), "key").select("item_id", "doc_id")
-    both = met.join(docs.select("doc_id", "text"), "doc_id").join(long.select("item_id", "passage"), "item_id").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
-    rest = docs.select("doc_id", "text").join(short, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    keyed = long.select("item_id", "passage", three(F.col("w"), F.lit(1)).alias("key"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: three(F.col("w"), i)))
+    own = docs.select("doc_id", "text", words(F.col("text")).alias("w")).select("doc_id", "text", F.explode_outer(F.when(F.size("w") >= 3, grams)).alias("key"))
+    both = own.join(F.broadcast(keyed), "key").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    rest = docs.select("doc_id", "text").join(F.broadcast(short), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
     return both.unionByName(rest).distinct()
 
 

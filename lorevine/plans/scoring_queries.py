@@ -36,9 +36,10 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.containing(questions(spark, sf), load(spark, sf, "documents"))
 
 
-def category(spark: SparkSession, sf: str) -> DataFrame:
+def category(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
+    """``known``: the gold pairs, where they are there already."""
     langs = load(spark, sf, "documents").select("doc_id", "lang")
-    return gold(spark, sf).join(langs, "doc_id").groupBy("item_id").agg(F.min("lang").alias("category"))
+    return (gold(spark, sf) if known is None else known).join(langs, "doc_id").groupBy("item_id").agg(F.min("lang").alias("category"))
 
 
 @query("gold_containment", f"WITH {GOLD} SELECT * FROM gold")
@@ -86,10 +87,15 @@ def margin_present(spark, sf):
     return evaluation.margin_among_present(evaluation.margins(fused_hits(spark, sf, k=None), gold(spark, sf)))
 
 
-def two_configs(spark: SparkSession, sf: str) -> DataFrame:
-    """Reciprocal ranks of the lexical channel and of the fused list, question by question."""
-    g = gold(spark, sf)
-    return evaluation.paired(evaluation.per_question(bm25_hits(spark, sf), g), evaluation.per_question(fused_hits(spark, sf), g), "rr")
+def two_configs(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
+    """Reciprocal ranks of the lexical channel and of the fused list, question by question.
+
+    What both use is a few rows a question, made once and cached: the gold pairs (``known``) and the best of the lexical channel.
+    """
+    g = gold(spark, sf).cache() if known is None else known
+    lexical_hits = bm25_hits(spark, sf, 50).cache()
+    fused = fused_hits(spark, sf, bm25=lexical_hits)
+    return evaluation.paired(evaluation.per_question(lexical_hits.filter("rank <= 10"), g), evaluation.per_question(fused, g), "rr")
 
 
 _TWO = f"WITH {FUSED}, {GOLD}, {CATEGORY}, {per_q('bmr', 'pa')}, {per_q('fur', 'pb')}, pr AS (SELECT item_id, pa.rr AS a, pb.rr AS b, round(pb.rr - pa.rr, 6) AS delta FROM pa JOIN pb USING (item_id))"
@@ -125,8 +131,9 @@ def bootstrap_by_category(spark, sf):
 @query("adoption_verdict")
 def adoption_verdict(spark, sf):
     """Adopted if the share of positive means is at least 0.95 and no category loses more than 0.05."""
-    pairs = two_configs(spark, sf)
-    worst = evaluation.worst_category(pairs, category(spark, sf)).agg(F.coalesce(F.min("delta"), F.lit(0.0)).alias("worst"))
+    g = gold(spark, sf).cache()
+    pairs = two_configs(spark, sf, g).cache()
+    worst = evaluation.worst_category(pairs, category(spark, sf, g)).agg(F.coalesce(F.min("delta"), F.lit(0.0)).alias("worst"))
     return evaluation.paired_bootstrap(pairs).crossJoin(worst).select("n", "delta", "p", "worst", ((F.col("p") >= 0.95) & (F.col("worst") >= -0.05)).alias("adopted"))
 
 
